@@ -6,6 +6,8 @@ from importlib import import_module
 
 NAMES = {
     "op1_packing": "op1",
+    "op2_chat": "op2",
+    "op8_sharding": "op8",
 }
 
 
