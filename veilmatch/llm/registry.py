@@ -7,6 +7,7 @@ from importlib import import_module
 NAMES = {
     "op1_packing": "op1",
     "op2_chat": "op2",
+    "op4_decontamination": "op4",
     "op8_sharding": "op8",
 }
 
