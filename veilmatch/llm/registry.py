@@ -10,6 +10,7 @@ NAMES = {
     "op4_decontamination": "op4",
     "op6_lm_scoring": "op6",
     "op8_sharding": "op8",
+    "op9_warc": "op9",
     "op10_toxicity": "op10",
 }
 

@@ -290,7 +290,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [kind]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", "score", "rare"])
 
-    schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(f"uid long, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare {tail_type}")])
+    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(f"uid long, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare {tail_type}")])
     first = materialise(slim.mapInArrow(run, schema), "lm-head-scores")
     rare = first.select("uid", F.inline("rare")).join(model.words.select("word", "c", "base", F.col("score").alias("own")), "word")
     sums = rare.groupBy("uid").agg(
