@@ -8,6 +8,7 @@ NAMES = {
     "op1_packing": "op1",
     "op2_chat": "op2",
     "op4_decontamination": "op4",
+    "op5_media": "op5",
     "op6_lm_scoring": "op6",
     "op8_sharding": "op8",
     "op9_warc": "op9",
