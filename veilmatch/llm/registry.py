@@ -10,6 +10,7 @@ NAMES = {
     "op4_decontamination": "op4",
     "op5_media": "op5",
     "op6_lm_scoring": "op6",
+    "op7_secrets": "op7",
     "op8_sharding": "op8",
     "op9_warc": "op9",
     "op10_toxicity": "op10",
