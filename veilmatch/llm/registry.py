@@ -7,6 +7,7 @@ from importlib import import_module
 NAMES = {
     "op1_packing": "op1",
     "op2_chat": "op2",
+    "op3_neardup": "op3",
     "op4_decontamination": "op4",
     "op5_media": "op5",
     "op6_lm_scoring": "op6",
