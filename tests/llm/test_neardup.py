@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from veilmatch.llm.neardup import Signer, bands_for, components, near_duplicates, shingles
+from veilmatch.llm.neardup import Signer, bands_for, components, deduplicate, near_duplicates, shingles
 
 
 def sets_of(text, k):
@@ -92,3 +92,17 @@ def test_components_of_chains_and_stars(spark):
 def test_few_words_are_one_shingle():
     assert len(shingles(b"a b", 3)) == 1 and len(shingles(b"a b c d", 3)) == 2 and len(shingles(b" \n", 3)) == 0
     assert shingles(b"A  b", 3).tolist() == shingles(b"a b", 3).tolist() != shingles(b"b a", 3).tolist()
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    rng = random.Random(5)
+    texts = family(rng, 6, 1) + family(rng, 3, 0) + ["", None, "", "lone text stands here by itself"]
+    docs = list(enumerate(texts)) + [(2, texts[2]), (None, texts[0]), (None, "no id at all in these words"), (None, "no id at all in these words")]
+    df = spark.createDataFrame([(t, i, f"{i}") for i, t in docs], "text string, doc_id long, kept string").repartition(3)
+    out = deduplicate(df)
+    assert out.columns == df.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    words = brute([d for d in docs if sets_of(d[1], 5)], 5, 80)
+    want = {str(c) for _, _, c, _ in words}
+    assert sorted({i for i, t in got if sets_of(t, 5)}) == sorted(want)
+    assert sum(1 for _, t in got if sets_of(t, 5)) == len(want) and sum(1 for _, t in got if not sets_of(t, 5)) == 3

@@ -205,17 +205,18 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     keep: bool = False,
+    name: str = "match",
     shard_bytes: int = SHARD_BYTES,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The input's id (or with ``keep`` all its columns) and a struct
-    ``match(n_words, n_hit, items, longest, ...)`` for each document, where
+    ``name(n_words, n_hit, items, longest, ...)`` for each document, where
     ``items`` are the ids of items with occurring windows, sorted as strings."""
     blocks = stored_blocks(benchmark, item_col, item_text_col, window, block_words)
     slim = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = slim.columns.index(text_col if keep else "text")
     kept = [f for f in slim.schema if keep or f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("match", RESULT, False)])
+    schema = T.StructType([*kept, T.StructField(name, RESULT, False)])
     places = [n for n, f in enumerate(slim.schema) if keep or n != at]
 
     def run(batches):

@@ -34,6 +34,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
@@ -235,12 +236,9 @@ def class_texts(docs: DataFrame, classes: DataFrame, named: DataFrame, id_col: s
     return found.mapInArrow(run, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text"))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, first_round: int = FIRST_ROUND,
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row: documents with
-    ``100 * shared >= percent * total`` are linked."""
-    k = shingle_words
+def linked_classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, first_round: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and ``set_key, component_id, least_id, first`` of each
+    class, where ``first`` marks the class that stands for its component."""
     bands, rows = bands_for(percent)
     signed = materialise(signatures(docs, id_col, text_col, k, bands, rows), "minhash-signatures")
     classes = materialise(
@@ -285,9 +283,49 @@ def near_duplicates(
         if longest <= most and new.isEmpty():
             break
         most *= 4
-    lowest = labels.join(classes.select("cid", "least_id"), "cid").groupBy("label").agg(F.min("least_id").alias("component_id"))
+    place = F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "cid")
+    lowest = labels.join(classes.select("cid", "least_id"), "cid").groupBy("label").agg(F.min(place).alias("low"))
     named = classes.select("set_key", "cid", "least_id").join(labels, "cid", "left").join(lowest, "label", "left")
-    named = named.select("set_key", F.coalesce("component_id", "least_id").alias("component_id"))
+    return signed, named.select(
+        "set_key", F.coalesce("low.least_id", "least_id").alias("component_id"), "least_id", F.coalesce(F.col("low.cid") == F.col("cid"), F.lit(True)).alias("first")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, first_round: int = FIRST_ROUND,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row: documents with
+    ``100 * shared >= percent * total`` are linked."""
+    signed, named = linked_classes(docs, id_col, text_col, shingle_words, percent, first_round)
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, first_round: int = FIRST_ROUND,
+) -> DataFrame:
+    """The input without all but one row of each component: a row with its
+    smallest id. Rows without words all stay."""
+    k = shingle_words
+    _, named = linked_classes(docs, id_col, text_col, k, percent, first_round)
+    winners = named.where("first").select(F.col("set_key").alias("__winner"), F.col("least_id").alias("__least"))
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema, T.StructField("__key", T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        from .packing import text_bytes
+
+        for batch in batches:
+            sets = (shingles(t, k) for t in text_bytes(batch.column(at)))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[f.name for f in schema])
+
+    keyed = docs.mapInArrow(run, schema)
+    match = (F.col("__key") == F.col("__winner")) & F.col(id_col).cast("long").eqNullSafe(F.col("__least"))
+    found = keyed.join(winners, match, "left").where("__key IS NULL OR __winner IS NOT NULL")
+    row = F.when(F.col("__key").isNull(), F.monotonically_increasing_id())
+    return found.withColumn("__row", row).dropDuplicates(["__key", id_col, "__row"]).select(*docs.columns)
