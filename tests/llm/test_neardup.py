@@ -50,14 +50,15 @@ def test_like_brute_force(spark, k, percent, seed):
     texts = []
     for _ in range(8):
         texts += family(rng, rng.randint(2, 12), rng.choice([1, 2, 4, 6]), rng.choice([8, 20, 60, 150]), rng.random() < 0.5)
+    for chain in (False, True):
+        texts += family(rng, 40, 5, 80, chain)
     texts += ["", " \t", None, "one", "ONE", "one two", "one two", "x\x1cy a b", "a b c", "a b c", "A B c d"] + [" ".join(["dup"] * 400)] * 2
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     docs = list(zip(ids, texts)) + [(None, texts[0]), (None, "lonely words here now"), (3, texts[5]), (ids[0], texts[20])]
     df = spark.createDataFrame([(*d, "c", True) for d in docs], "doc_id long, text string, component_id string, kept boolean").repartition(3)
-    for first_round in (64, 1):
-        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, shingle_words=k, percent=percent, first_round=first_round).collect()), key=str)
-        assert got == brute(docs, k, percent)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, shingle_words=k, percent=percent).collect()), key=str)
+    assert got == brute(docs, k, percent)
 
 
 def test_empty(spark):

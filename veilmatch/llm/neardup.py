@@ -10,10 +10,12 @@ that meets most others over all buckets) to every other one. Edges are
 confirmed on the full sets, and components follow by label propagation.
 
 A star can miss a link between two outer classes. Buckets that still hold
-several components are therefore taken up again: the distances to the star's
-centre, which are known exactly, rule out every pair whose distances differ by
-more than a link allows (Jaccard distance is a metric), and the pairs left are
-confirmed in rounds, more in each, until none is left.
+several components are therefore taken up again, exactly and without comparing
+all their pairs. Each class is written as its difference from the star's
+centre. Two classes are linked only if their differences share as many hashes
+as their sizes tell, so an index over the rarest hashes of each difference
+(prefix filtering, with bounds for each pair) finds all pairs that can be
+linked; these are confirmed on the full sets like any other.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a chance
 below ``MISS``. Only hashes are shuffled, but for the texts of classes that
@@ -42,9 +44,7 @@ MISS = 1e-7
 MAX_BANDS = 56
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Residual classes of a bucket that the first follow-up round compares.
-FIRST_ROUND = 64
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 CACHE_SETS = 256
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +236,68 @@ def class_texts(docs: DataFrame, classes: DataFrame, named: DataFrame, id_col: s
     return found.mapInArrow(run, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text"))
 
 
-def linked_classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, first_round: int) -> tuple[DataFrame, DataFrame]:
+def follow_up(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that share a bucket, not a component, and may still be linked.
+
+    With c the centre's set, x and y linked means that the symmetric difference
+    of x and y is at most ``slack * (|x| + |y|)``. It is that of X = x ^ c and
+    Y = y ^ c, so X and Y share at least ``need = (|X| + |Y| - slack * (|x| +
+    |y|)) / 2`` hashes, and one of them is among the ``|X| - need + 1`` rarest of
+    X and the ``|Y| - need + 1`` rarest of Y. One class of such a pair is not
+    linked with the centre; that bounds ``need`` for the other one alone.
+    """
+    slack = (100 - percent) / (100 + percent)
+    labelled = stars.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    members = labelled.join(several, "bucket").where("cid <> hub").select("hub", "cid", "label").distinct()
+    hub_label = labels.select(F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
+    members = members.join(hub_label, "hub", "left").withColumn("rest", F.col("label") != F.coalesce("hub_label", "hub")).drop("hub_label")
+    members = members.join(texts.select("cid", F.col("text").alias("t")), "cid").join(texts.select(F.col("cid").alias("hub"), F.col("text").alias("th")), "hub")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .packing import text_bytes
+
+        name, centre = None, None
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                hashes, sizes, centres = [], [], []
+                for hub, t, th in zip(part.column(0).to_pylist(), text_bytes(part.column(4)), text_bytes(part.column(5))):
+                    if hub != name:
+                        name, centre = hub, shingles(th, k)
+                    own = shingles(t, k)
+                    hashes.append(np.setxor1d(own, centre, assume_unique=True))
+                    sizes.append(len(own))
+                    centres.append(len(centre))
+                each = np.array([len(h) for h in hashes])
+                rows = np.repeat(np.arange(len(each)), each)
+                taken = [part.column(n).take(pa.array(rows)) for n in range(4)]
+                numbers = [np.array(x)[rows] for x in (sizes, centres, each)]
+                yield pa.RecordBatch.from_arrays(
+                    [*taken, *(pa.array(x, pa.int64()) for x in numbers), pa.array(np.concatenate(hashes).view(np.int64))], ["hub", "cid", "label", "rest", "n", "nh", "d", "hash"]
+                )
+
+    split = members.select("hub", "cid", "label", "rest", "t", "th").mapInArrow(run, "hub long, cid long, label long, rest boolean, n long, nh long, d long, hash long")
+    split = materialise(split, "minhash-differences")
+    often = split.groupBy("hub", "hash").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("hub", "cid").orderBy("often", "hash")
+    ranked = split.join(often, ["hub", "hash"]).withColumn("rank", F.row_number().over(order))
+
+    def need(total):
+        return F.greatest(F.lit(1), F.ceil(total / 2 - 1e-9))
+
+    alone = need(F.col("d") + slack * (F.col("nh") - F.col("n")))
+    ranked = materialise(ranked.withColumn("early", F.col("rank") <= F.col("d") - alone + 1).where("rest OR early"), "minhash-prefixes")
+    x = ranked.where("rest").select("hub", "hash", F.col("cid").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("rank").alias("xr"))
+    y = ranked.where("early").select("hub", "hash", F.col("cid").alias("y"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("rank").alias("yr"))
+    both = need(F.col("xd") + F.col("yd") - slack * (F.col("xn") + F.col("yn")))
+    found = x.join(y, ["hub", "hash"]).where((F.col("xl") != F.col("yl")) & (F.col("xr") <= F.col("xd") - both + 1) & (F.col("yr") <= F.col("yd") - both + 1))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def linked_classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows' signatures, and ``set_key, component_id, least_id, first`` of each
     class, where ``first`` marks the class that stands for its component."""
     bands, rows = bands_for(percent)
@@ -261,28 +322,12 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     named = stars.select("cid").distinct()
     texts = materialise(class_texts(docs, classes, named, id_col, text_col, k), "minhash-texts")
     compared = materialise(confirm(pairs, texts, k), "minhash-compared")
-    most, reach = first_round, F.lit(1 - percent / 100 + 1e-9)
-    while True:
-        labels = components(compared.where(F.col("shared") * 100 >= F.col("total") * percent))
-        labelled = stars.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        distance = compared.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("d"))
-        split = labelled.join(open_buckets, "bucket").where("cid <> hub").select("*", *ordered("hub", "cid")).join(distance, ["a", "b"], "left").drop("a", "b")
-        hub_label = labels.select(F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
-        split = materialise(split.join(hub_label, "hub", "left").withColumn("rest", F.col("label") != F.coalesce("hub_label", "hub")), "minhash-open")
-        order = Window.partitionBy("bucket").orderBy("d", "cid")
-        rest = split.where("rest").select("bucket", F.col("cid").alias("x"), F.col("label").alias("xl"), F.col("d").alias("xd"), F.row_number().over(order).alias("rank"))
-        rest = materialise(rest, "minhash-rest")
-        longest = rest.agg(F.max("rank")).first()[0] or 0
-        other = split.select("bucket", F.col("cid").alias("y"), F.col("label").alias("yl"), F.col("d").alias("yd"))
-        new = rest.where(F.col("rank") <= most).join(other, "bucket").where((F.col("xl") != F.col("yl")) & (F.abs(F.col("xd") - F.col("yd")) <= reach))
-        new = new.select(*ordered("x", "y")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(new, "minhash-pairs")
-        if not new.isEmpty():
-            compared = materialise(compared.unionByName(confirm(new, texts, k)), "minhash-compared")
-        if longest <= most and new.isEmpty():
-            break
-        most *= 4
+    linked = F.col("shared") * 100 >= F.col("total") * percent
+    labels = components(compared.where(linked))
+    missed = materialise(follow_up(stars, labels, texts, k, percent), "minhash-pairs")
+    if not missed.isEmpty():
+        compared = compared.unionByName(materialise(confirm(missed, texts, k), "minhash-compared"))
+        labels = components(compared.where(linked))
     place = F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "cid")
     lowest = labels.join(classes.select("cid", "least_id"), "cid").groupBy("label").agg(F.min(place).alias("low"))
     named = classes.select("set_key", "cid", "least_id").join(labels, "cid", "left").join(lowest, "label", "left")
@@ -291,24 +336,20 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, first_round: int = FIRST_ROUND,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row: documents with
     ``100 * shared >= percent * total`` are linked."""
-    signed, named = linked_classes(docs, id_col, text_col, shingle_words, percent, first_round)
+    signed, named = linked_classes(docs, id_col, text_col, shingle_words, percent)
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, first_round: int = FIRST_ROUND,
-) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The input without all but one row of each component: a row with its
     smallest id. Rows without words all stay."""
     k = shingle_words
-    _, named = linked_classes(docs, id_col, text_col, k, percent, first_round)
+    _, named = linked_classes(docs, id_col, text_col, k, percent)
     winners = named.where("first").select(F.col("set_key").alias("__winner"), F.col("least_id").alias("__least"))
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema, T.StructField("__key", T.BinaryType())])
