@@ -36,7 +36,7 @@ MAX_TERMS = 256
 MIN_DOCS = 4
 MIN_RATIO = 30.0
 NEAR = 5
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 PREFIXES = (4, 5)
 
 #: Second-person words of English, German, French and Spanish.
@@ -70,6 +70,24 @@ class Chunks(dict):
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon, self.rows, self.hit = lexicon, [], {}
+        self.table, self.filled = np.zeros((1024, self.WIDTH)), 0
+
+    def facts(self) -> np.ndarray:
+        """All rows so far; only new ones are copied into the growing table."""
+        total = self.filled + len(self.rows)
+        if total > len(self.table):
+            self.table = np.concatenate([self.table[: self.filled], np.zeros((2 * total - self.filled, self.WIDTH))])
+        if self.rows:
+            self.table[self.filled: total] = self.rows
+            self.filled = total
+            self.rows.clear()
+        return self.table[:total]
+
+    def forget(self) -> None:
+        self.clear()
+        self.rows.clear()
+        self.hit.clear()
+        self.filled = 0
 
     def weight(self, word: str) -> tuple[float, str]:
         return max(((self.lexicon.get(t, 0.0), t) for t in terms(word)), default=(0.0, ""))
@@ -86,7 +104,7 @@ class Chunks(dict):
         if mixed and not weight:
             weight, term = self.weight(word.translate(LEET))
             hidden = weight > 0
-        self[raw] = n = len(self.rows)
+        self[raw] = n = self.filled + len(self.rows)
         if weight:
             self.hit[n] = term
         self.rows.append(
@@ -98,16 +116,14 @@ class Chunks(dict):
 def features(texts: list[bytes], chunks: Chunks) -> np.ndarray:
     """One row of ``NAMES`` for each text."""
     if len(chunks) > CACHE_CHUNKS:
-        chunks.clear()
-        chunks.rows.clear()
-        chunks.hit.clear()
+        chunks.forget()
     look = chunks.__getitem__
     places = [np.array(list(map(look, t.split())), np.int64) for t in texts]
     out = np.zeros((len(texts), len(NAMES)))
     n = np.array([len(p) for p in places])
     if not n.sum():
         return out
-    facts = np.array(chunks.rows, np.float64)
+    facts = chunks.facts()
     which = np.concatenate(places)
     doc = np.repeat(np.arange(len(texts)), n)
     spot = np.arange(len(which)) + doc * 2 * (NEAR + 1)
