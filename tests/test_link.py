@@ -144,6 +144,9 @@ def test_policies(spark):
     assert got[0]["values"] == ["ann", None] and got[0]["errors"][0]["path"] == str(BIRTH)
     assert got[1]["errors"][0]["error"] == "required field missing"
     assert normalized(records(spark, bad), fs, policy="nullify").first()["values"] == ["ann", None]
+    assert normalized(records(spark, bad), fs, policy="sanitize").first()["values"] == ["ann", None]
+    with pytest.raises(Exception, match="required field"):
+        normalized(records(spark, lacking), fs, policy="sanitize").select("values").collect()
     with pytest.raises(ValueError):
         normalized(records(spark, bad), fs, policy="other")
 

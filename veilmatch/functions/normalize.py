@@ -47,6 +47,11 @@ def fold(text: str, kind: str = "default") -> str:
     return text
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _folded(value: Column, kind: str) -> Column:
     @F.arrow_udf("string")
     def unicode_fold(raw):
@@ -54,16 +59,22 @@ def _folded(value: Column, kind: str) -> Column:
 
         return pa.array([None if x is None else fold(decode(x), kind) for x in raw.to_pylist()], pa.string())
 
-    ascii_only = F.rlike(value, F.lit(r"\A[\x00-\x7F]*\z"))
-    plain = F.trim(F.regexp_replace(F.lower(value), r"[\t-\r ]+", " "))
-    if kind == IDENTIFIER:
-        plain = F.translate(plain, "-. ", "")
-    return F.when(value.isNull(), F.lit(None)).when(ascii_only, plain).otherwise(unicode_fold(F.when(~ascii_only, value).cast("binary")))
+    def plain(v: Column) -> Column:
+        out = F.trim(F.regexp_replace(F.lower(v), r"[\t-\r ]+", " "))
+        return F.translate(out, "-. ", "") if kind == IDENTIFIER else out
+
+    def is_ascii(v: Column) -> Column:
+        return F.rlike(v, F.lit(r"\A[\x00-\x7F]*\z"))
+
+    native = let(value, lambda v: F.when(is_ascii(v), plain(v)))
+    return F.coalesce(native, unicode_fold(let(value, lambda v: F.when(~is_ascii(v), v)).cast("binary")))
 
 
 def _result(value: Column, *faults: tuple[Column, str]) -> Column:
     """First fault that holds gives the error; ``value`` is what stands otherwise."""
     error = F.lit(None).cast("string")
+    if not faults:
+        return F.struct(value.alias("value"), error.alias("error"))
     for holds, message in reversed(faults):
         error = F.when(holds, F.lit(message)).otherwise(error)
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
@@ -97,8 +108,7 @@ def rules(folded: Column, kind: str) -> Column:
 def normalize(value: Column, p: FieldPath) -> Column:
     """``struct<value, error>`` of a string column under a path's rules; both null for null."""
     kind = kind_of(p)
-    folded = _folded(value, kind)
-    return F.when(value.isNotNull(), rules(folded, kind))
+    return let(_folded(value, kind), lambda v: F.when(v.isNotNull(), rules(v, kind)))
 
 
 def normalize_value(value: str | bytes, p: FieldPath) -> str:

@@ -10,7 +10,7 @@ from ..functions.similarity import popcount
 from ..functions.tokens import Secret, bloom_fields, hmac_fields, params_column, token_meta, words_of
 from ..plans.schema import FieldPath, FieldSet
 
-POLICIES = ("fail", "nullify", "report")
+POLICIES = ("fail", "nullify", "sanitize", "report")
 
 
 def raw_values(fs: FieldSet, columns: dict[str, str] | None = None, record: str = "record") -> list[Column]:
@@ -24,8 +24,9 @@ def normalized(df: DataFrame, fs: FieldSet, columns: dict[str, str] | None = Non
     """``df`` with ``values`` (array of strings in field order) and ``errors`` (array of structs).
 
     ``fail`` stops at the first faulty or missing required value, ``nullify``
-    takes a faulty value as absent, ``report`` does so too and lists missing
-    required fields among the errors.
+    takes a faulty value as absent, ``sanitize`` does so too but stops at a
+    required field that is then absent, and ``report`` lists such fields among
+    the errors.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -36,10 +37,13 @@ def normalized(df: DataFrame, fs: FieldSet, columns: dict[str, str] | None = Non
     missing = [
         F.when(F.col("__n")[k]["error"].isNull() & F.col("__n")[k]["value"].isNull(), F.struct(F.lit(str(f.path)).alias("path"), F.lit("required field missing").alias("error")))
         for k, f in enumerate(fs.fields)
-        if f.required and policy != "nullify"
+        if f.required and policy in ("fail", "report")
     ]
     errors = F.array_compact(F.array(*faults, *missing)) if fs.fields else F.array().cast("array<struct<path:string,error:string>>")
     out = out.withColumn("errors", errors).drop("__n")
+    if policy == "sanitize" and any(f.required for f in fs.fields):
+        lacking = [F.when(F.col("values")[k].isNull(), F.raise_error(F.lit(f"required field {f.path} missing")).cast("array<string>")) for k, f in enumerate(fs.fields) if f.required]
+        out = out.withColumn("values", F.coalesce(*lacking, F.col("values")))
     if policy == "fail":
         first = F.concat(F.lit("field "), F.col("errors")[0]["path"], F.lit(": "), F.col("errors")[0]["error"])
         out = out.withColumn("values", F.when(F.size("errors") > 0, F.raise_error(first).cast("array<string>")).otherwise(F.col("values")))

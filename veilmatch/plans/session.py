@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import auprc, auroc, calibrate, confusion, pick_at, pick_best, sample_pairs, score_pairs, sweep, throughput
 from ..operators.link import equal, link_equal, link_similar
 from ..operators.tokenize import Tokenizer, annotate, comparable
-from ..operators.validate import drop_counts, record_errors, sanitize
+from ..operators.validate import record_errors
 from .schema import FieldPath, FieldSet
 
 
@@ -57,9 +57,9 @@ class Session:
 
 def tokenize_all(session: Session, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Comparable tokens of sanitised records (``id``, ``record``), and counts of dropped fields."""
-    clean = sanitize(records, session.field_set)
-    tokens = comparable(session.probabilistic(clean.select("id", "record")))
-    return tokens.select("id", "token", "words", "pops"), drop_counts(clean)
+    done = session.probabilistic(records.select("id", "record"), policy="sanitize", keep_errors=True)
+    drops = done.select(F.explode("errors").alias("e")).groupBy(F.col("e.path").alias("path")).agg(F.count("*").alias("drops"))
+    return comparable(done).select("id", "token", "words", "pops"), drops
 
 
 def scored(session: Session, records: DataFrame, positives: int, negatives: int, seed: int, threshold: float = 0.5) -> DataFrame:
