@@ -71,6 +71,7 @@ class Chunks(dict):
         super().__init__()
         self.lexicon, self.rows, self.hit = lexicon, [], {}
         self.table, self.filled = np.zeros((1024, self.WIDTH)), 0
+        self.begin = {k: {t[:-1]: w for t, w in lexicon.items() if t.endswith("*") and len(t) == k + 1} for k in PREFIXES}
 
     def facts(self) -> np.ndarray:
         """All rows so far; only new ones are copied into the growing table."""
@@ -90,17 +91,27 @@ class Chunks(dict):
         self.filled = 0
 
     def weight(self, word: str) -> tuple[float, str]:
-        return max(((self.lexicon.get(t, 0.0), t) for t in terms(word)), default=(0.0, ""))
+        """The greatest weight among a word's terms, and that term."""
+        best, term = self.lexicon.get(word, 0.0), word
+        for k, table in self.begin.items():
+            w = table.get(word[:k], 0.0)
+            if w > best or w == best and w and f"{word[:k]}*" > term:
+                best, term = w, f"{word[:k]}*"
+        return best, term
 
     def __missing__(self, raw: bytes) -> int:
         chunk = raw.decode("utf-8", "replace")
-        word = core(chunk)
+        size = len(chunk)
+        if chunk.isalpha():
+            word = chunk.lower()
+            letters, digits, upper = size, 0, 0 if word == chunk else sum(map(str.isupper, chunk))
+        else:
+            word = core(chunk)
+            letters, digits = sum(map(str.isalpha, chunk)), sum(map(str.isdigit, chunk))
+            upper = 0 if chunk.islower() else sum(map(str.isupper, chunk))
         weight, term = self.weight(word) if word else (0.0, "")
-        letters = sum(map(str.isalpha, chunk))
-        upper = sum(map(str.isupper, chunk))
-        digits = sum(map(str.isdigit, chunk))
         hidden = 0
-        mixed = letters > 0 and len(word) > letters + word.count("-") + word.count("'")
+        mixed = 0 < letters < len(word) - word.count("-") - word.count("'")
         if mixed and not weight:
             weight, term = self.weight(word.translate(LEET))
             hidden = weight > 0
@@ -108,7 +119,7 @@ class Chunks(dict):
         if weight:
             self.hit[n] = term
         self.rows.append(
-            (weight > 0, weight, word in SECOND_PERSON, letters, upper, letters > 1 and upper == letters, len(chunk) - letters - digits, chunk.count("!"), chunk.count("?"), digits, mixed + 2 * hidden + 4 * bool(_REPEAT.search(word)))
+            (weight > 0, weight, word in SECOND_PERSON, letters, upper, letters > 1 and upper == letters, size - letters - digits, chunk.count("!"), chunk.count("?"), digits, mixed + 2 * hidden + 4 * bool(_REPEAT.search(word)))
         )
         return n
 
