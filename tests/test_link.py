@@ -116,12 +116,21 @@ def test_known_scores(spark):
     assert pair_result(spark, Session(b"secret", weights), person("Christopher", "Smith"), person("Cristopher", "Smyth"), 0.1)["score"] >= 0.2
 
 
-def test_blocked_and_salted_links(spark):
+def test_blocked_links_in_cells(spark):
     s = Session(b"k", FS)
     rows = records(spark, *(person(f"name{k % 7}", f"fam{k % 3}") for k in range(30)))
     t = comparable(s.probabilistic(block_on(rows.withColumn("b", F.lit("same")), s, "b", FAM)))
     plain = {(r["id"], r["id_r"]) for r in link_similar(t, t, FS, 0.8, block="block").collect()}
-    salted = {(r["id"], r["id_r"]) for r in link_similar(t, t, FS, 0.8, block="block", salts=4).collect()}
+    salted = {(r["id"], r["id_r"]) for r in link_similar(t, t, FS, 0.8, block="block", cell_rows=7).collect()}
+    for keep_all in (False, True):
+        one_way, other_way = ({(r["id"], r["id_r"]): r["result"] for r in link_similar(t, t, FS, 0.8, block="block", keep_all=keep_all, method=m, cell_rows=11).collect()} for m in ("grid", "join"))
+        assert one_way.keys() == other_way.keys() and len(one_way) == (900 if keep_all else len(plain))
+        for pair, r in one_way.items():
+            o = other_way[pair]
+            assert (r["paths"], r["is_match"], r["comparable_fields"]) == (o["paths"], o["is_match"], o["comparable_fields"])
+            assert r["score"] == pytest.approx(o["score"]) and r["per_field"] == pytest.approx(o["per_field"])
+    nulls = t.withColumn("block", F.lit(None).cast("string"))
+    assert link_similar(nulls, t, FS, 0.0, block="block").count() == 0 and link_similar(t.limit(0), t, FS, 0.0, unblocked=True).count() == 0
     full = link_similar(t, t, FS, 0.8, unblocked=True)
     assert plain == salted == {(r["id"], r["id_r"]) for r in full.collect()} and all((k, k) in plain for k in range(30))
     assert {r["id"]: r["id_r"] for r in best_match(full).collect()}[29] == 8
@@ -130,8 +139,9 @@ def test_blocked_and_salted_links(spark):
     with pytest.raises(ValueError):
         link_similar(t, t, FS, 0.8)
     other = comparable(Session(b"k", FS, "k2").probabilistic(rows))
-    with pytest.raises(Exception, match="key id mismatch"):
-        link_similar(t, other, FS, 0.8, unblocked=True).collect()
+    for m in ("grid", "join"):
+        with pytest.raises(Exception, match="key id mismatch"):
+            link_similar(t, other, FS, 0.8, unblocked=True, method=m).collect()
 
 
 def test_policies(spark):

@@ -57,26 +57,45 @@ def grams(text: str, sizes: tuple[int, ...]) -> list[str]:
 
 
 class _Stream:
-    """64-bit numbers from HMAC in counter mode, four to a block."""
+    """64-bit numbers from HMAC in counter mode, four to a block.
 
-    def __init__(self, base, label: bytes, path: str, value: str):
-        self.base, self.head = base, label + framed(path.encode()) + framed(value.encode())
+    The inner and outer hash states are copied rather than computed anew, and
+    the inner one has already taken in all but the counter.
+    """
+
+    def __init__(self, pads: tuple, label: bytes, path: str, value: str):
+        self.inner, self.outer = pads[0].copy(), pads[1]
+        self.inner.update(label + framed(path.encode()) + framed(value.encode()))
         self.counter, self.held = 0, []
 
+    def block(self) -> bytes:
+        inner = self.inner.copy()
+        inner.update(self.counter.to_bytes(4, "big"))
+        self.counter += 1
+        outer = self.outer.copy()
+        outer.update(inner.digest())
+        return outer.digest()
+
     def next(self) -> int:
         if not self.held:
-            h = self.base.copy()
-            h.update(self.head + struct.pack(">I", self.counter))
-            self.counter += 1
-            self.held = list(struct.unpack(">4Q", h.digest()))[::-1]
+            self.held = list(struct.unpack(">4Q", self.block()))[::-1]
         return self.held.pop()
 
+    def below(self, limit: int, count: int) -> int:
+        """A number whose bit k tells whether the k-th draw's upper 53 bits are below ``limit``."""
+        import numpy as np
+
+        raw = b"".join(self.block() for _ in range(-(-count // 4)))
+        hits = (np.frombuffer(raw, ">u8")[:count] >> np.uint64(11)) < limit
+        return int.from_bytes(np.packbits(hits, bitorder="little").tobytes(), "little")
+
 
 class BloomEncoder:
     """Filters of one field under one key."""
 
     def __init__(self, key: bytes, path: str, config: BloomConfig):
         self.base, self.path, self.config = hmac.new(key, digestmod="sha256"), path, config
+        self.pads = tuple(map(hashlib.sha256, _pads(key)))
         self.tail = framed(path.encode())
         self.memo: dict[str, int] = {}
 
@@ -103,14 +122,9 @@ class BloomEncoder:
         for g in set(grams(value, c.ngram_sizes)):
             bits |= self.gram_bits(g)
         if c.flip_probability > 0:
-            limit, stream = int(c.flip_probability * (1 << 53)), _Stream(self.base, b"blip:", self.path, value)
-            flips = 0
-            for k in range(c.size_bits):
-                if stream.next() >> 11 < limit:
-                    flips |= 1 << k
-            bits ^= flips
+            bits ^= _Stream(self.pads, b"blip:", self.path, value).below(int(c.flip_probability * (1 << 53)), c.size_bits)
         if bits.bit_count() < c.target_popcount:
-            stream = _Stream(self.base, b"balance:", self.path, value)
+            stream = _Stream(self.pads, b"balance:", self.path, value)
             while bits.bit_count() < c.target_popcount:
                 bits |= 1 << (stream.next() % c.size_bits)
         return bits.to_bytes(c.n_bytes, "little")

@@ -101,10 +101,14 @@ def people(spark: SparkSession, sf: str, party: str = "a") -> DataFrame:
 
 def tokens(spark: SparkSession, sf: str, party: str = "a", fs: FieldSet = LINK) -> DataFrame:
     """``id, block, token, words, pops``; the block is the field token of the area."""
-    df = people(spark, sf, party)
+    return comparable(blocked(spark, sf, party, fs)).select("id", "block", "token", "words", "pops")
+
+
+def blocked(spark: SparkSession, sf: str, party: str = "a", fs: FieldSet = LINK) -> DataFrame:
+    """``id, block, token`` of a party."""
     session = Session(KEY, fs, "k1")
-    rows = session.probabilistic(df.withColumn("block", F.hex(session.field(F.col("area"), AREA))))
-    return comparable(rows).select("id", "block", "token", "words", "pops")
+    rows = people(spark, sf, party).withColumn("block", F.hex(session.field(F.col("area"), AREA)))
+    return session.probabilistic(rows).select("id", "block", "token")
 
 
 # ---------------------------------------------------------------- schema and paths
@@ -354,7 +358,7 @@ def popcounts(spark, sf):
 
 @query()
 def hardened_tokens(spark, sf):
-    t = Session(KEY, LINK.with_bloom(HARDENED, "link/1-hardened"), "k1").probabilistic(people(spark, sf))
+    t = Session(KEY, LINK.with_bloom(HARDENED, "link/1-hardened"), "k1").probabilistic(people(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id"))
     return comparable(t).select("id", F.sha2(F.array_join(F.transform("token.fields", F.hex), ""), 256).alias("digest"), F.array_min("pops").alias("least"))
 
 
@@ -430,7 +434,7 @@ _MATCHED = f"SELECT id, id_r, {_PAIR_SUM} AS score, CASE WHEN id < 10 AND id_r <
 
 
 def _linked(spark, sf) -> DataFrame:
-    return link_similar(tokens(spark, sf), tokens(spark, sf, "noisy"), LINK, 0.8, block="block")
+    return link_similar(blocked(spark, sf), blocked(spark, sf, "noisy"), LINK, 0.8, block="block")
 
 
 @query(f"SELECT id, id_r, round(score, 6) AS score, comparable_fields FROM ({_MATCHED})")
@@ -452,7 +456,7 @@ def match_unblocked(spark, sf):
     session = Session(KEY, fs)
 
     def side(name, i, v):
-        return comparable(session.probabilistic(table(spark, sf, name).select(F.col(i).alias("id"), F.col(v).alias("v")), columns={str(FULL): "v"}))
+        return session.probabilistic(table(spark, sf, name).select(F.col(i).alias("id"), F.col(v).alias("v")), columns={str(FULL): "v"})
 
     pairs = link_similar(side("supplier", "s_suppkey", "s_name"), side("nation", "n_nationkey", "n_name"), fs, 0.0, unblocked=True, keep_all=True)
     return pairs.select("id", F.col("id_r").cast("int"), F.round("result.score", 6).alias("score"))

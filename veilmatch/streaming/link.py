@@ -23,4 +23,4 @@ def link_stream_similar(session: Session, stream: DataFrame, stored: DataFrame,
     """Matches of a stream of comparable tokens with a stored table, by blocking key."""
     if not stream.isStreaming:
         raise ValueError("the left side must be a stream")
-    return link_similar(stream, stored, session.field_set, threshold, block=block)
+    return link_similar(stream, stored, session.field_set, threshold, block=block, method="join")
