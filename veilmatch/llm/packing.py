@@ -30,7 +30,7 @@ GROUP_TOKENS = 16_000_000
 #: Gaps of fewer tokens are padded, as filling them would shred documents.
 MIN_FILL = 16
 #: Entries a worker's chunk cache may hold before it is dropped.
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 900_000
 
 
 class CapacityTree:
@@ -167,7 +167,7 @@ class ChunkEncoder:
     def reset(self) -> None:
         self.index = _Index()
         self.flat, self.start, self.length = array("i"), array("q"), array("q")
-        self.cores: dict[bytes, np.ndarray] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def _direct(self, texts: list[bytes]) -> list[np.ndarray]:
         got = self.tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -182,29 +182,32 @@ class ChunkEncoder:
             ids = np.array(self.tok.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words) and cuts[-1] == len(ids):
-                self.cores.update(zip(words, np.split(ids, cuts[:-1])))
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                self.cores.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
             else:
                 other += words
         if other:
-            self.cores.update(zip(other, self._direct(other)))
+            self.cores.update(zip(other, (x.tobytes() for x in self._direct(other))))
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        split = []
-        for chunk in new:
-            core = chunk.rstrip(b".,;:!?")
-            if core and len(core) < len(chunk) and 97 <= core[-1] <= 122:
-                split.append((core, chunk[len(core):]))
-            else:
-                split.append((chunk, b""))
-        self._encode_cores(list({c for pair in split for c in pair if c and c not in self.cores}))
-        for core, tail in split:
-            ids = self.cores[core]
-            self.start.append(len(self.flat))
-            self.flat.frombytes(ids.tobytes())
-            if tail:
-                self.flat.frombytes(self.cores[tail].tobytes())
-            self.length.append(len(self.flat) - self.start[-1])
+        heads = [c.rstrip(b".,;:!?") for c in new]
+        tails = [b""] * len(new)
+        for n, (chunk, head) in enumerate(zip(new, heads)):
+            if len(head) < len(chunk):
+                if head and 97 <= head[-1] <= 122:
+                    tails[n] = chunk[len(head):]
+                else:
+                    heads[n] = chunk
+        self.cores.setdefault(b"", b"")
+        self._encode_cores([c for c in {*heads, *tails} if c not in self.cores])
+        core = self.cores.__getitem__
+        ids = [a + b for a, b in zip(map(core, heads), map(core, tails))]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.flat.frombytes(b"".join(ids))
+        self.start.frombytes(starts.tobytes())
+        self.length.frombytes(lengths.tobytes())
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > CACHE_CHUNKS:
