@@ -56,7 +56,12 @@ def write_file(uri: str, data: bytes) -> None:
     temp = f"{parent}/_{uuid.uuid4().hex}"
     with fsys.open_output_stream(temp) as out:
         out.write(data)
-    fsys.move(temp, path)
+    try:
+        fsys.move(temp, path)
+    except OSError:  # some stores don't rename onto a file; an earlier attempt wrote the same
+        if fsys.get_file_info(path).size != len(data):
+            raise
+        fsys.delete_file(temp)
 
 
 def read_file(uri: str) -> bytes:
