@@ -44,6 +44,8 @@ MISS = 1e-7
 MAX_BANDS = 56
 SHINGLE_WORDS = 5
 PERCENT = 80
+#: Slices of a component's classes when they meet its smallest id.
+LABEL_SALTS = 16
 CACHE_WORDS = 300_000
 CACHE_SETS = 256
 
@@ -330,7 +332,10 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
         labels = components(compared.where(linked))
     place = F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "cid")
     lowest = labels.join(classes.select("cid", "least_id"), "cid").groupBy("label").agg(F.min(place).alias("low"))
-    named = classes.select("set_key", "cid", "least_id").join(labels, "cid", "left").join(lowest, "label", "left")
+    # a component may hold a large share of all classes, so its label is salted
+    salted = labels.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(LABEL_SALTS)).cast("int"))
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+    named = classes.select("set_key", "cid", "least_id").join(salted.join(lowest, ["label", "salt"]).select("cid", "low"), "cid", "left")
     return signed, named.select(
         "set_key", F.coalesce("low.least_id", "least_id").alias("component_id"), "least_id", F.coalesce(F.col("low.cid") == F.col("cid"), F.lit(True)).alias("first")
     )
