@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilmatch.operators.evaluate import auprc, auroc, calibrate, confusion, latency_summary, mcc, percentile, pick_at, pick_best, positive_pairs, sample_negatives, sample_pairs, sample_positives, score_pairs, sweep, throughput
+from veilmatch.operators.evaluate import auprc, auroc, calibrate, confusion, latency_summary, mcc, numbered, percentile, pick_at, pick_best, positive_pairs, sample_negatives, sample_pairs, sample_positives, score_pairs, sweep, throughput
 from veilmatch.operators.tokenize import comparable
 from veilmatch.plans.schema import DATE, DEFAULT, NAME, FieldSet, FieldSpec, path
 from veilmatch.plans.session import Session, calibrate_on, run, scored
@@ -117,6 +117,22 @@ def test_sampling(spark):
             sample_pairs(*bad, 1)
 
 
+def test_numbers_are_gapless(spark):
+    df = grouped(spark, (700, 1, 3))
+    got = {}
+    for r in numbered(df, ["canonical_id"], "id").collect():
+        got.setdefault(r["canonical_id"], []).append(r["k"])
+    assert {g: sorted(k) for g, k in got.items()} == {"g0": list(range(700)), "g1": [0], "g2": [0, 1, 2]}
+
+
+def test_areas_over_many_scores(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([rng.gauss(0, 5), round(rng.random(), 2)]), rng.random() < 0.3) for _ in range(3000)]
+    roc, ap = by_steps(rows)
+    assert auroc(frame(spark, rows)).first()["auroc"] == pytest.approx(roc)
+    assert auprc(frame(spark, rows)).first()["auprc"] == pytest.approx(ap)
+
+
 def test_negatives_are_uniform_over_groups(spark):
     df = grouped(spark, (200, 20, 20, 20, 20))
     group = {r["id"]: r["canonical_id"] for r in df.collect()}

@@ -11,6 +11,15 @@ def test_paths():
         with pytest.raises(ValueError):
             FieldPath.parse(bad)
     assert FieldPath.parse("acme::name::x").in_namespace("name")
+    assert FieldPath.from_text("") is None and FieldPath.from_text("a::b::c") == FieldPath("a", "b", "c")
+
+
+def test_public_names():
+    import veilmatch
+
+    assert all(getattr(veilmatch, n) is not None for n in veilmatch.__all__)
+    with pytest.raises(AttributeError):
+        veilmatch.nothing
 
 
 def test_fingerprints():

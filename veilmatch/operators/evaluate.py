@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..plans.schema import FieldSet
 
 STEPS = 100
+#: Ranges of scores that running sums are split into, and buckets for numbering rows.
+BINS = 4096
+BUCKETS = 256
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
@@ -76,17 +79,30 @@ def calibrate(df: DataFrame, score: str = "score", label: str = "label") -> Data
 
 
 def _blocks(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row for each distinct score: its positives and negatives, running sums from the top, totals."""
+    """One row for each distinct score: its positives and negatives, running sums from the top, totals.
+
+    Scores fall into ``BINS`` ranges; sums run inside each range, after the
+    sums of the ranges above, of which there are few.
+    """
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return by.select("s", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).join(F.broadcast(totals))
+    ends = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    binned = by.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    sums = sums.select("bin", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(o) for c, o in (("bp", "over_p"), ("bn", "over_n"))))
+    down = Window.partitionBy("bin").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return binned.join(F.broadcast(sums), "bin").select(
+        "s", "p", "n", (F.sum("p").over(down) + F.col("over_p")).alias("tp"), (F.sum("n").over(down) + F.col("over_n")).alias("fp"), "all_p", "all_n"
+    )
 
 
 def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve, ties as one block; 0 when a class is empty."""
     b = _blocks(df, score, label)
-    area = F.sum(F.col("n") / F.col("all_n") * (2 * F.col("tp") - F.col("p")) / F.col("all_p") / 2)
+    # whole numbers up to the one division, so that a perfect order gives exactly 1
+    twice = F.sum((F.col("n").cast("decimal(19,0)") * (2 * F.col("tp") - F.col("p")).cast("decimal(19,0)")).cast("decimal(38,0)"))
+    area = twice.cast("double") / (2.0 * F.max("all_p") * F.max("all_n"))
     return b.where("all_p > 0 AND all_n > 0").agg(F.coalesce(area, F.lit(0.0)).alias("auroc"))
 
 
@@ -128,26 +144,42 @@ def sample_positives(df: DataFrame, want: int, seed: int, group: str = "canonica
     return positive_pairs(df, group, id_col).orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").limit(want)
 
 
+def numbered(df: DataFrame, within: list[str], by: str) -> DataFrame:
+    """``df`` with ``k``, which numbers the rows of each group from 0 in a fixed order.
+
+    Rows are numbered in buckets by a hash, after the counts of the buckets
+    before, so that no group meets in one task.
+    """
+    rows = df.withColumn("__b", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int"))
+    before = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*within, "__b").agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*within, "__b").orderBy(by)
+    out = rows.withColumn("__k", F.row_number().over(inside) - 1).join(counts, [*within, "__b"])
+    return out.withColumn("k", (F.col("__k") + F.col("__o")).cast("long")).drop("__b", "__k", "__o")
+
+
 def sample_negatives(df: DataFrame, want: int, seed: int, group: str = "canonical_id", id_col: str = "id", tries: int = 8) -> DataFrame:
     """``want`` pairs of different groups, uniform over groups first, then over a group's records.
 
     Raises ValueError when fewer are found in ``tries`` draws for each wanted pair.
     """
     spark = df.sparkSession
-    members = df.groupBy(group).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
-    ranked = members.select(F.row_number().over(Window.orderBy(group)).alias("k"), "ids")
-    n = members.count()
+    records = df.select(F.col(group).alias("g"), F.col(id_col).alias("r"))
+    records = numbered(records, ["g"], "r")
+    sizes = records.groupBy("g").agg(F.count("*").alias("n"))
+    groups = numbered(sizes.withColumn("all", F.lit(1)), ["all"], "g").select("g", "n", F.col("k").alias("place"))
+    n = groups.count()
     if n < 2:
         raise ValueError("need at least two groups for negative pairs")
 
     def draw(salt: str, over: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), over.cast("long"))
 
-    draws = spark.range(want * tries).select("id", (draw("left group", F.lit(n)) + 1).cast("int").alias("ka"), (draw("right group", F.lit(n)) + 1).cast("int").alias("kb"))
-    draws = draws.where("ka <> kb")
-    picked = draws.join(ranked.select(F.col("k").alias("ka"), F.col("ids").alias("ia")), "ka").join(ranked.select(F.col("k").alias("kb"), F.col("ids").alias("ib")), "kb")
-    pairs = picked.select("id", *(F.element_at(i, (draw(s, F.size(i)) + 1).cast("int")).alias(o) for i, s, o in (("ia", "left record", "x"), ("ib", "right record", "y"))))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "id").groupBy("a", "b").agg(F.min("id").alias("id"))
+    draws = spark.range(want * tries).select("id", *(draw(f"{side} group", F.lit(n)).alias(f"{side}_place") for side in ("left", "right"))).where("left_place <> right_place")
+    for side, name in (("left", "x"), ("right", "y")):
+        chosen = draws.join(groups.select(F.col("place").alias(f"{side}_place"), "g", "n"), f"{side}_place").withColumn("k", draw(f"{side} record", F.col("n")))
+        draws = chosen.join(records, ["g", "k"]).drop("g", "k", "n", f"{side}_place").withColumnRenamed("r", name)
+    pairs = draws.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "id").groupBy("a", "b").agg(F.min("id").alias("id"))
     out = pairs.orderBy("id").limit(want).select("a", "b")
     if out.count() < want:
         raise ValueError(f"fewer than {want} distinct negative pairs found")

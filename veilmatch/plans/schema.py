@@ -28,6 +28,11 @@ class FieldPath:
             raise ValueError(f"invalid field path {text!r}: expected org::namespace::name")
         return cls(*parts)
 
+    @classmethod
+    def from_text(cls, text: str) -> FieldPath | None:
+        """As ``parse``, but an empty text is no path."""
+        return cls.parse(text) if text else None
+
     def __str__(self) -> str:
         return f"{self.org}::{self.namespace}::{self.name}"
 
