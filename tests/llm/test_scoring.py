@@ -93,6 +93,8 @@ def test_base_and_scores(spark):
         scores.append(sorted(round(r["score"], 6) for r in rows))
     assert scores[0] == scores[1] == scores[2]
     assert fit(df, F.col("train"), max_grams=1).depth == 1
+    with pytest.raises(Exception, match="not among the documents"):
+        score(spark.createDataFrame([(1, "neverseen")], "doc_id long, text string"), model).collect()
     empty = df.limit(0)
     assert score(empty, fit(empty, F.col("train"))).count() == 0
     none = score(df, fit(df, F.lit(None).cast("boolean")))

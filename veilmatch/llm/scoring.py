@@ -261,7 +261,11 @@ def _load(path: str) -> tuple:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_bytes, n_known, base_score, score`` of each row; scores are log10."""
+    """``doc_id, n_tokens, n_bytes, n_known, base_score, score`` of each row; scores are log10.
+
+    The rows must be among those given to ``fit``, for training or not; a text
+    with a word that was not there raises an error.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     head_path = model.head_path
     tail_type = "array<struct<word: binary, k: int>>"
@@ -292,7 +296,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(f"uid long, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare {tail_type}")])
     first = materialise(slim.mapInArrow(run, schema), "lm-head-scores")
-    rare = first.select("uid", F.inline("rare")).join(model.words.select("word", "c", "base", F.col("score").alias("own")), "word")
+    table = model.words.select("word", "c", "base", F.col("score").alias("own"))
+    lost = F.raise_error(F.lit("a text holds words that were not among the documents given to fit")).cast("boolean")
+    rare = first.select("uid", F.inline("rare")).join(table, "word", "left").where(F.when(F.col("c").isNull(), lost).otherwise(F.lit(True)))
     sums = rare.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b"), F.sum(F.col("k") * F.col("own")).alias("s")
     )
