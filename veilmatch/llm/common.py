@@ -79,3 +79,17 @@ def id_crc_mod(column: str | Column, modulus: int) -> Column:
 def crc_mod(value, modulus: int) -> int:
     """The same in Python."""
     return zlib.crc32(b"" if value is None else str(value).encode()) % modulus
+
+
+_CACHES: dict[str, object] = {}
+
+
+def claim(name: str, clear) -> None:
+    """Note that an operator now fills its cache in this worker, and empty all others.
+
+    Workers live on from task to task, so that a cache pays; without this, the
+    caches of a pipeline's stages would add up.
+    """
+    for other in [x for x in _CACHES if x != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear

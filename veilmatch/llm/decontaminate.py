@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_file, work_path, write_file
+from .common import claim, read_file, work_path, write_file
 
 WINDOW = 10
 SHARD_BYTES = 6_000_000
@@ -133,6 +133,7 @@ _LOADED: dict[str, Block] = {}
 
 
 def _block(path: str) -> Block:
+    claim("decontamination", _LOADED.clear)
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = pickle.loads(read_file(path))

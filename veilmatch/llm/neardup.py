@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import claim, materialise
 
 MISS = 1e-7
 MAX_BANDS = 56
@@ -85,6 +85,8 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    if not _WORDS:
+        claim("near duplicates", _WORDS.clear)
     if len(_WORDS) > CACHE_WORDS:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))

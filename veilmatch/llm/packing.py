@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import claim
+
 WINDOW = 2048
 END_ID = 1
 GROUP_TOKENS = 16_000_000
 #: Gaps of fewer tokens are padded, as filling them would shred documents.
 MIN_FILL = 16
 #: Entries a worker's chunk cache may hold before it is dropped.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 700_000
 
 
 class CapacityTree:
@@ -237,6 +239,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
+    claim("packing", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import claim, materialise
 
 POSITIVES, NEGATIVES = 3000, 6000
 MAX_TERMS = 256
@@ -344,6 +344,7 @@ def _kept(docs: DataFrame, text_col: str, fn, name: str, kind: T.DataType, colum
 
         from .packing import text_bytes
 
+        claim("toxicity", int)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
