@@ -19,3 +19,8 @@ def test_linkage_does_not_need_the_training_data_part():
     for file in (root / "veilmatch").rglob("*.py"):
         if "llm" not in file.parts:
             assert not re.search(r"\bllm\b|corpus_pipeline", file.read_text()), file
+
+
+def test_workers_find_the_package(spark):
+    entry.queries()["fieldset_fingerprint"](spark, "")
+    assert entry.ROOT in spark.sparkContext.environment["PYTHONPATH"].split(":")
