@@ -101,6 +101,20 @@ def test_base_and_scores(spark):
     assert none.where("n_known > 0").count() == 0
 
 
+def test_kinds_are_mixed(spark):
+    """With a column of kinds, a text's probability is the mean of what the trees of all texts and of each kind give."""
+    docs = [(1, "aa ab aa", "x", True), (2, "zz zy", "y", True), (3, "zz zz", "y", True), (4, "aa zz", None, True), (5, "aa aa ab", "y", False), (6, None, "x", False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, s0 string, train boolean")
+    got = {r["doc_id"]: r["score"] for r in score(df, fit(df, F.col("train"), kind_col="s0", depth=2)).collect()}
+    parts = []
+    for own in (lambda d: True, lambda d: d[2] == "y", lambda d: d[2] == "x"):
+        learn = df.where(F.col("doc_id").isin([d[0] for d in docs if own(d) and d[3]]))
+        marked = learn.withColumn("train", F.lit(True)).unionByName(df.withColumn("train", F.lit(False)))
+        parts.append({r["doc_id"]: r["score"] for r in score(df, fit(marked, F.col("train"), depth=2)).collect()})
+    for i in got:
+        assert got[i] == pytest.approx(math.log10(sum(10 ** p[i] for p in parts) / 3), abs=1e-9)
+
+
 def test_chances_sum_to_one():
     words = [b"abc", b"abd", b"\xc3\xa9", b"\n"]
     codes, per = grams_of(words, 2)

@@ -10,7 +10,7 @@ from .scoring import fit, score
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = id_crc_mod("doc_id", 7) == 2
-    model = fit(docs, ~held_out)
+    model = fit(docs, ~held_out, kind_col="lang" if "lang" in docs.columns else None)
     return score(docs, model).select(
         "doc_id",
         held_out.alias("held_out"),

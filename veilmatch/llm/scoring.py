@@ -7,7 +7,12 @@ counts for each context of 0 to ``depth`` bytes before it (contexts stop at
 the start of the word), and the Krichevsky-Trofimov estimates of all depths
 are mixed with the weights of context-tree weighting, taken from the counts of
 all training texts. A context that training never reached takes no part. The
-code length of a text is the sum over its tokens.
+code length of a token is the same wherever it stands.
+
+There is one tree over all training texts and, if a column names the kind of a
+training text (its language, say), one for each of the ``MAX_KINDS`` commonest
+kinds. A text's probability is the even mixture of what the trees give it; its
+own kind is not looked at.
 
 How it scales: words are counted in every task, then summed by word. All that
 the tree needs follows from the distinct words. Its grams (context and next
@@ -33,9 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, read_file, work_path, write_file
+from .common import claim, materialise, read_file, work_path, write_file
 
 DEPTH = 5
+MAX_KINDS = 6
 MAX_GRAMS = 1_500_000
 HEAD = 262_144
 #: Distinct words a task holds before it hands its counts on.
@@ -133,46 +139,50 @@ def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
 # ---------------------------------------------------------------- counting
 
 
-def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
-    """``word, c, n``: a word's count in training texts and in all texts."""
-    slim = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+def counts_of(kinds: int) -> list[str]:
+    """Names of the count columns: training texts of no named kind first, then by kind."""
+    return [f"c{k}" for k in range(kinds + 1)]
+
+
+def word_counts(docs: DataFrame, text_col: str, train: Column, kind: Column, kinds: int) -> DataFrame:
+    """``word, n, c0, ..., c{kinds}``: a word's count in all texts, and in the training texts of each kind."""
+    place = F.when(F.coalesce(train, F.lit(False)), F.coalesce(kind, F.lit(0))).otherwise(-1)
+    slim = docs.select(F.col(text_col).cast("string").alias("text"), place.cast("int").alias("kind"))
+    names = ["word", "n", *counts_of(kinds)]
 
     def run(batches):
         import pyarrow as pa
 
         from .packing import text_bytes
 
-        seen, learned = Counter(), Counter()
+        held = [Counter() for _ in range(kinds + 2)]  # the last: texts that are not learned from
 
         def flush():
-            learned_of = learned.get
-            for w in learned:
-                if w not in seen:
-                    seen[w] = 0
-            keys = list(seen)
-            c = np.fromiter(map(learned_of, keys, repeat(0)), np.int64, len(keys))
-            n = np.fromiter(seen.values(), np.int64, len(keys)) + c
+            keys = list(set().union(*held))
+            columns = [np.fromiter(map(h.get, keys, repeat(0)), np.int64, len(keys)) for h in held]
+            total = np.sum(columns, axis=0)
             for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at: at + 50_000], pa.binary()), pa.array(c[at: at + 50_000]), pa.array(n[at: at + 50_000])], ["word", "c", "n"])
-            seen.clear()
-            learned.clear()
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.binary()), pa.array(total[cut]), *(pa.array(c[cut]) for c in columns[:-1])], names)
+            for h in held:
+                h.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for text, own in zip(text_bytes(part.column(0)), part.column(1).to_pylist()):
-                    (learned if own else seen).update(tokens(text))
-                if len(seen) + len(learned) > FLUSH_WORDS:
+                for text, k in zip(text_bytes(part.column(0)), part.column(1).to_pylist()):
+                    held[k].update(tokens(text))
+                if sum(map(len, held)) > FLUSH_WORDS:
                     yield from flush()
-        if seen or learned:
+        if any(held):
             yield from flush()
 
-    parts = slim.mapInArrow(run, "word binary, c long, n long")
-    return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    parts = slim.mapInArrow(run, ", ".join(["word binary", *(f"{x} long" for x in names[1:])]))
+    return parts.groupBy("word").agg(*(F.sum(x).alias(x) for x in names[1:]))
 
 
-def gram_counts(words: DataFrame, depth: int) -> DataFrame:
-    """``gram, c`` over the distinct words, weighted by their training counts."""
+def gram_counts(words: DataFrame, depth: int, columns: list[str]) -> DataFrame:
+    """``gram`` and its counts over the distinct words, weighted by their training counts."""
 
     def run(batches):
         import pyarrow as pa
@@ -182,57 +192,72 @@ def gram_counts(words: DataFrame, depth: int) -> DataFrame:
                 continue
             codes, counts = grams_of(batch.column(0).to_pylist(), depth)
             keys, inverse = np.unique(codes, return_inverse=True)
-            c = np.bincount(inverse, np.repeat(batch.column(1).to_numpy(), counts).astype(float), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(c.astype(np.int64))], ["gram", "c"])
+            sums = [np.bincount(inverse, np.repeat(batch.column(k).to_numpy(), counts).astype(float), len(keys)).astype(np.int64) for k in range(1, 1 + len(columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *map(pa.array, sums)], ["gram", *columns])
 
-    return words.select("word", "c").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    schema = ", ".join(["gram long", *(f"{c} long" for c in columns)])
+    return words.select("word", *columns).mapInArrow(run, schema).groupBy("gram").agg(*(F.sum(c).alias(c) for c in columns))
 
 
 @dataclass(frozen=True)
 class Model:
     """A fitted model: where its tables lie, and its totals."""
 
-    words: DataFrame  # word, c, n, base, score
+    words: DataFrame  # word, c, n, base, and s0, s1, ... of each tree
     head_path: str
     depth: int
+    kinds: tuple
     train_tokens: int
     train_types: int
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, head: int = HEAD) -> Model:
+def fit(docs: DataFrame, train: Column, text_col: str = "text", kind_col: str | None = None, depth: int = DEPTH, max_grams: int = MAX_GRAMS, head: int = HEAD) -> Model:
     """Learn from the rows where ``train`` holds; other rows only tell which words to score."""
     spark = docs.sparkSession
-    counts = materialise(word_counts(docs, text_col, train), "lm-words")
+    kinds: list = []
+    if kind_col:
+        common = docs.where(F.coalesce(train, F.lit(False)) & F.col(kind_col).isNotNull()).groupBy(F.col(kind_col).alias("k")).count()
+        kinds = [r["k"] for r in common.orderBy(F.desc("count"), "k").limit(MAX_KINDS).collect()]
+    kind = F.lit(0)
+    for k, name in enumerate(kinds, 1):
+        kind = F.when(F.col(kind_col) == name, k).otherwise(kind)
+    columns = counts_of(len(kinds))
+    raw = materialise(word_counts(docs, text_col, train, kind, len(kinds)), "lm-words")
+    every = sum((F.col(c) for c in columns), F.lit(0))
+    counts = raw.withColumn("c", every)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
 
-    grams = materialise(gram_counts(counts, depth), "lm-grams")
+    grams = materialise(gram_counts(raw, depth, columns), "lm-grams")
     while grams.count() > max_grams and depth > 1:
         shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
         depth -= 1
-        grams = materialise(grams.groupBy(shorter.alias("gram")).agg(F.sum("c").alias("c")), "lm-grams")
+        grams = materialise(grams.groupBy(shorter.alias("gram")).agg(*(F.sum(c).alias(c) for c in columns)), "lm-grams")
     table = grams.toArrow()
     codes = table.column("gram").to_numpy().astype(np.uint64)
     order = np.argsort(codes)
-    codes, learned = codes[order], table.column("c").to_numpy().astype(float)[order]
+    codes = codes[order]
+    learned = [table.column(c).to_numpy().astype(float)[order] for c in columns]
+    trees = [sum(learned), *learned[1:]]
     gram_path = work_path(spark, "lm-tree")
-    write_file(gram_path, pickle.dumps((codes, tree_log10(codes, learned, depth) if len(codes) else np.zeros(0))))
+    write_file(gram_path, pickle.dumps((codes, [tree_log10(codes, t, depth) if len(codes) else np.zeros(0) for t in trees])))
+    names = [f"s{k}" for k in range(len(trees))]
 
     def score_words(batches):
         import pyarrow as pa
 
-        known, value = _load(gram_path)
+        known, values = _load(gram_path)
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes, counts = grams_of(batch.column(0).to_pylist(), depth)
             keys, inverse = np.unique(codes, return_inverse=True)
-            per = value[np.searchsorted(known, keys)][inverse]
-            score = np.add.reduceat(per, np.cumsum(counts) - counts)
-            c = batch.column(1).to_numpy()
-            base = np.log10((c + 1) / (n + v + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(base), pa.array(score)], ["word", "c", "n", "base", "score"])
+            at, first = np.searchsorted(known, keys)[inverse], np.cumsum(counts) - counts
+            scores = [np.add.reduceat(v[at], first) for v in values]
+            base = np.log10((batch.column(1).to_numpy() + 1) / (n + v + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), *map(pa.array, scores)], ["word", "c", "n", "base", *names])
 
-    words = materialise(counts.mapInArrow(score_words, "word binary, c long, n long, base double, score double"), "lm-scored-words")
+    schema = ", ".join(["word binary, c long, n long, base double", *(f"{x} double" for x in names)])
+    words = materialise(counts.select("word", "c", "n").mapInArrow(score_words, schema), "lm-scored-words")
 
     # the least count such that no more than `head` words reach it, by powers of 2^(1/8)
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -243,19 +268,19 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", depth: int = DEP
         left, least = left - r["count"], r["level"]
     head_path = work_path(spark, "lm-head")
     kept = words.where(level >= least) if least is not None else words.limit(0)
-    top = kept.select("word", "c", "base", "score").toArrow()
+    top = kept.select("word", "c", "base", *names).toArrow()
     index = {w: k for k, w in enumerate(top.column("word").to_pylist())}
-    write_file(head_path, pickle.dumps((index, *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base", "score")))))
-    return Model(words, head_path, depth, n, v)
+    write_file(head_path, pickle.dumps((index, *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base", *names)))))
+    return Model(words, head_path, depth, tuple(kinds), n, v)
 
 
 _LOADED: dict[str, tuple] = {}
 
 
 def _load(path: str) -> tuple:
+    claim("scoring", _LOADED.clear)
     if path not in _LOADED:
-        if len(_LOADED) > 1:
-            _LOADED.clear()
+        _LOADED.clear()
         _LOADED[path] = pickle.loads(read_file(path))
     return _LOADED[path]
 
@@ -268,7 +293,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     head_path = model.head_path
-    tail_type = "array<struct<word: binary, k: int>>"
+    names = [f"s{k}" for k in range(len(model.kinds) + 1)]
 
     def run(batches):
         import pyarrow as pa
@@ -276,10 +301,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         from .packing import text_bytes
 
-        index, c, base, value = _load(head_path)
+        index, c, base, *values = _load(head_path)
         known = (c > 0).astype(np.int64)
         get, uid = index.get, TaskContext.get().partitionId() << 33
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
+        kinds = [pa.int64()] * 4 + [pa.float64()] * (1 + len(names)) + [pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -288,26 +313,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     ws = tokens(text)
                     idx = np.array(list(map(get, ws, repeat(-1))), np.int64)
                     rare = Counter([ws[k] for k in np.flatnonzero(idx < 0)])
-                    rows.append((uid, len(ws), len(text), int(known[idx].sum()), float(base[idx].sum()), float(value[idx].sum()), [{"word": w, "k": k} for w, k in rare.items()]))
+                    sums = (float(x[idx].sum()) for x in (base, *values))
+                    rows.append((uid, len(ws), len(text), int(known[idx].sum()), *sums, [{"word": w, "k": k} for w, k in rare.items()]))
                     uid += 1
                 cols = list(zip(*rows))
-                kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [kind]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", *names, "rare"])
 
-    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(f"uid long, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare {tail_type}")])
-    first = materialise(slim.mapInArrow(run, schema), "lm-head-scores")
-    table = model.words.select("word", "c", "base", F.col("score").alias("own"))
+    ddl = "uid long, n_tokens long, n_bytes long, n_known long, base_score double, " + "".join(f"{x} double, " for x in names) + "rare array<struct<word: binary, k: int>>"
+    first = materialise(slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(ddl)])), "lm-head-scores")
+    table = model.words.select("word", "c", "base", *(F.col(x).alias(f"w{x}") for x in names))
     lost = F.raise_error(F.lit("a text holds words that were not among the documents given to fit")).cast("boolean")
     rare = first.select("uid", F.inline("rare")).join(table, "word", "left").where(F.when(F.col("c").isNull(), lost).otherwise(F.lit(True)))
     sums = rare.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b"), F.sum(F.col("k") * F.col("own")).alias("s")
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b"), *(F.sum(F.col("k") * F.col(f"w{x}")).alias(f"w{x}") for x in names)
     )
     zero = F.lit(0)
-    return first.drop("rare").join(sums, "uid", "left").select(
+    whole = first.drop("rare").join(sums, "uid", "left").select(
         "doc_id",
         "n_tokens",
         "n_bytes",
         (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
         (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        *((F.col(x) + F.coalesce(f"w{x}", zero)).alias(x) for x in names),
     )
+    best = F.greatest(*(F.col(x) for x in names)) if len(names) > 1 else F.col("s0")
+    mixed = best + F.log10(sum((F.pow(F.lit(10.0), F.col(x) - best) for x in names), F.lit(0.0)) / len(names))
+    return whole.select("doc_id", "n_tokens", "n_bytes", "n_known", "base_score", mixed.alias("score"))
