@@ -100,12 +100,13 @@ def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
         key = ((codes >> np.uint64(8)) << np.uint64(8)) | prefix
         up = []  # from each level's nodes to the next shallower level's
         keys, inverse = np.unique(key, return_inverse=True)
+        inverse = inverse.astype(np.int32)
         ones = [np.bincount(inverse, counts * bit, len(keys))]
         zeros = [np.bincount(inverse, counts * (1 - bit), len(keys))]
         for d in range(depth - 1, -1, -1):
             mask = np.uint64((1 << (8 * d + 8)) - 1)
             keys, parent = np.unique(keys & mask, return_inverse=True)
-            up.append(parent)
+            up.append(parent.astype(np.int32))
             ones.append(np.bincount(parent, ones[-1], len(keys)))
             zeros.append(np.bincount(parent, zeros[-1], len(keys)))
         weighted = None
@@ -238,6 +239,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", kind_col: str |
     codes = codes[order]
     learned = [table.column(c).to_numpy().astype(float)[order] for c in columns]
     trees = [sum(learned), *learned[1:]]
+    del table, learned, order
     gram_path = work_path(spark, "lm-tree")
     write_file(gram_path, pickle.dumps((codes, [tree_log10(codes, t, depth) if len(codes) else np.zeros(0) for t in trees])))
     names = [f"s{k}" for k in range(len(trees))]
