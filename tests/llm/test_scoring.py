@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import re
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilmatch.llm.scoring import fit, grams_of, log_gamma, score, tree_log10
+from veilmatch.llm import scoring
+from veilmatch.llm.scoring import fit, gram_counts, grams_of, log_gamma, score, tree_log10
 
 
 class Tree:
@@ -124,3 +126,23 @@ def test_chances_sum_to_one():
         keys, inverse = np.unique(np.concatenate([codes, asked]), return_inverse=True)
         got = tree_log10(keys, np.bincount(inverse, np.concatenate([n, np.zeros(256)])), 2)
         assert abs((10 ** got[np.searchsorted(keys, asked)]).sum() - 1) < 1e-9
+
+
+def test_depth_does_not_depend_on_the_input(spark, monkeypatch):
+    """The tree in tables gives what one tree over all grams gives, for more grams than a task works on at once."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    train = F.col("doc_id") % 4 != 1
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 50)
+    assert inspect.signature(fit).parameters["max_grams"].default is None
+    for depth in (1, 2, 3, 5):
+        model = fit(df, train, kind_col="lang", depth=depth, head=3)
+        assert model.depth == depth
+        grams = gram_counts(df, "text", train, F.when(F.col("lang") == model.kinds[0], 1).otherwise(2), 2, depth).toPandas()
+        codes, c = grams["gram"].to_numpy().astype(np.uint64), [grams[f"c{k}"].to_numpy().astype(float) for k in range(3)]
+        assert depth < 5 or len(codes) > 1000
+        got = model.grams.toPandas().set_index("gram").loc[grams["gram"]]
+        for k, counts in enumerate([sum(c), c[1], c[2]]):
+            assert np.allclose(got[f"s{k}"], tree_log10(codes, counts, depth), rtol=0, atol=1e-9)
+        assert (got["n"].to_numpy() >= sum(c)).all()

@@ -14,12 +14,15 @@ training text (its language, say), one for each of the ``MAX_KINDS`` commonest
 kinds. A text's probability is the even mixture of what the trees give it; its
 own kind is not looked at.
 
-How it scales: words are counted in every task, then summed by word. All that
-the tree needs follows from the distinct words. Its grams (context and next
-byte) are collected only up to ``max_grams``; beyond it the tree is built one
-byte shallower, down to one byte of context, whose grams are 65,536 at most.
-Scores of the ``head`` most frequent words, a fixed number, go to every task;
-rarer words are joined. Both ways are always in use and give the same sums.
+How it scales: words and grams (context and next byte) are counted in every
+task, then summed by key, and stay tables. The tree is never in one place: a
+task weighs the nodes below whole contexts of two bytes, hands the top nodes on
+to tasks that hold whole contexts of one byte, and only the nodes of one byte
+of context, 65,280 at most, meet on the driver; what the upper nodes give to the
+lower ones comes back the same way. The depth is the same for any input.
+Scores of the ``head`` most frequent words and of ``GRAMS_A_WORD`` times as many
+grams, fixed numbers, go to every task; rarer ones are joined. Both ways are
+always in use and give the same sums.
 
 Defined cases: a null or empty text is the end token alone; a null id counts
 as training when its CRC rule says so; repeated rows are scored each; an empty
@@ -42,10 +45,14 @@ from .common import claim, materialise, read_file, work_path, write_file
 
 DEPTH = 5
 MAX_KINDS = 6
-MAX_GRAMS = 1_500_000
 HEAD = 262_144
-#: Distinct words a task holds before it hands its counts on.
+GRAMS_A_WORD = 4
+#: Distinct words and grams a task holds before it hands its counts on.
 FLUSH_WORDS = 600_000
+FLUSH_GRAMS = 1_500_000
+#: Bytes of text and rows of grams that are worked on at once.
+BLOCK_BYTES = 4_000_000
+BLOCK_ROWS = 100_000
 END = b"\n"
 START, CLOSE = 0x20, 0x20
 
@@ -87,56 +94,109 @@ def grams_of(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[at], counts
 
 
-def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+def split_bits(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram's node at its byte's ``k``-th bit (context, then the bits before it behind a one), and that bit."""
+    byte = (codes & np.uint64(255)).astype(np.int64)
+    prefix = ((1 << k) | (byte >> (8 - k))).astype(np.uint64)
+    return ((codes >> np.uint64(8)) << np.uint64(8)) | prefix, (byte >> (7 - k)) & 1
+
+
+def ladder(keys: np.ndarray, deep: int, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nodes at depth ``top`` above those at depth ``deep``, and each level's places in the next shallower one."""
+    up = []
+    for d in range(deep - 1, top - 1, -1):
+        keys, parent = np.unique(keys & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
+        up.append(parent.astype(np.int32))
+    return keys, up
+
+
+def kt_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, up: list[np.ndarray]) -> tuple[list[tuple], np.ndarray]:
+    """``(zeros, ones, share of the node's own estimate)`` by level, deepest first (no share there), and the top's weighted ln probability."""
+    levels = [(zeros, ones, None)]
+    for parent in up:
+        size = parent.max() + 1 if len(parent) else 0
+        zeros, ones, below = (np.bincount(parent, x, size).astype(float) for x in (zeros, ones, weighted))
+        block = kt_block(zeros, ones)
+        weighted = np.logaddexp(block, below) - np.log(2)
+        levels.append((zeros, ones, np.exp(block - np.log(2) - weighted)))
+    return levels, weighted
+
+
+def descend(levels: list[tuple], up: list[np.ndarray], alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the top to the deepest level: a node whose mixture is p makes the whole tree give ``alpha + beta * p``."""
+    for k in range(len(up) - 1, -1, -1):
+        a, b, share = levels[k + 1]
+        own = (b + 0.5) / (a + b + 1)
+        seen = levels[k][0] + levels[k][1] > 0
+        alpha, beta = (
+            np.where(seen, (alpha + beta * share * own)[up[k]], (alpha + beta * own)[up[k]]),
+            np.where(seen, (beta * (1 - share))[up[k]], 0),
+        )
+    return alpha, beta
+
+
+def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 0, above=None) -> np.ndarray:
     """log10 probability of each gram's last byte in its context.
 
     ``counts`` are training counts; grams of count 0 are scored but not learned.
+    With ``top``, the grams are all those below some contexts of that many bytes,
+    and ``above`` tells the ``alpha`` and ``beta`` of given nodes at that depth.
     """
-    byte = (codes & np.uint64(255)).astype(np.int64)
     total = np.zeros(len(codes))
     for k in range(8):
-        prefix = ((1 << k) | (byte >> (8 - k))).astype(np.uint64)
-        bit = (byte >> (7 - k)) & 1
-        key = ((codes >> np.uint64(8)) << np.uint64(8)) | prefix
-        up = []  # from each level's nodes to the next shallower level's
+        key, bit = split_bits(codes, k)
         keys, inverse = np.unique(key, return_inverse=True)
-        inverse = inverse.astype(np.int32)
-        ones = [np.bincount(inverse, counts * bit, len(keys))]
-        zeros = [np.bincount(inverse, counts * (1 - bit), len(keys))]
-        for d in range(depth - 1, -1, -1):
-            mask = np.uint64((1 << (8 * d + 8)) - 1)
-            keys, parent = np.unique(keys & mask, return_inverse=True)
-            up.append(parent.astype(np.int32))
-            ones.append(np.bincount(parent, ones[-1], len(keys)))
-            zeros.append(np.bincount(parent, zeros[-1], len(keys)))
-        weighted = None
-        stop = []
-        for level, (a, b) in enumerate(zip(zeros, ones)):
-            block = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
-            if weighted is None:
-                weighted = block
-                stop.append(np.ones(len(a)))
-            else:
-                below = np.bincount(up[level - 1], weighted, len(a))
-                weighted = np.logaddexp(block, below) - np.log(2)
-                stop.append(np.exp(block - np.log(2) - weighted))
-        at = np.arange(len(zeros[0]))
-        chance = seen = None
-        for level, (a, b) in enumerate(zip(zeros, ones)):
-            if level:
-                at = up[level - 1][at]
-            own = ((b + 0.5) / (a + b + 1))[at]
-            if level:
-                share = stop[level][at]
-                chance = np.where(seen, share * own + (1 - share) * chance, own)
-            else:
-                chance = own
-            seen = ((a + b) > 0)[at]
-        p = chance[inverse]
+        zeros, ones = np.bincount(inverse, counts * (1 - bit), len(keys)), np.bincount(inverse, counts * bit, len(keys))
+        tops, up = ladder(keys, depth, top)
+        levels, _ = weigh(zeros, ones, kt_block(zeros, ones), up)
+        alpha, beta = descend(levels, up, *(above(tops) if above else (np.zeros(len(tops)), np.ones(len(tops)))))
+        p = (alpha + beta * (ones + 0.5) / (zeros + ones + 1))[inverse]
         total += np.log10(np.where(bit == 1, p, 1 - p))
     return total
 
 
+def top_nodes(codes: np.ndarray, trees: list[np.ndarray], depth: int, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys of the nodes at depth ``top``, and each tree's zeros, ones and weighted ln probability of them."""
+    found = []
+    for k in range(8):
+        key, bit = split_bits(codes, k)
+        keys, inverse = np.unique(key, return_inverse=True)
+        tops, up = ladder(keys, depth, top)
+        values = []
+        for counts in trees:
+            zeros, ones = np.bincount(inverse, counts * (1 - bit), len(keys)), np.bincount(inverse, counts * bit, len(keys))
+            levels, weighted = weigh(zeros, ones, kt_block(zeros, ones), up)
+            values += [*levels[-1][:2], weighted]
+        found.append((tops, values))
+    return np.concatenate([t for t, _ in found]), [np.concatenate(c) for c in zip(*(v for _, v in found))]
+
+
+def whole_groups(batches):
+    """Arrow tables of whole groups from batches that are sorted by ``group``."""
+    import pyarrow as pa
+
+    held, rows, enough = [], 0, BLOCK_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= enough:
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = table.column("group").to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+            enough = max(BLOCK_ROWS, 2 * rows)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 # ---------------------------------------------------------------- counting
 
 
@@ -145,26 +205,24 @@ def counts_of(kinds: int) -> list[str]:
     return [f"c{k}" for k in range(kinds + 1)]
 
 
-def word_counts(docs: DataFrame, text_col: str, train: Column, kind: Column, kinds: int) -> DataFrame:
-    """``word, n, c0, ..., c{kinds}``: a word's count in all texts, and in the training texts of each kind."""
-    place = F.when(F.coalesce(train, F.lit(False)), F.coalesce(kind, F.lit(0))).otherwise(-1)
-    slim = docs.select(F.col(text_col).cast("string").alias("text"), place.cast("int").alias("kind"))
-    names = ["word", "n", *counts_of(kinds)]
+def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
+    """``word, n, c``: a word's count in all texts, and in the training texts."""
+    slim = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).cast("int").alias("train"))
+    names = ["word", "n", "c"]
 
     def run(batches):
         import pyarrow as pa
 
         from .packing import text_bytes
 
-        held = [Counter() for _ in range(kinds + 2)]  # the last: texts that are not learned from
+        held = [Counter(), Counter()]  # texts that are not learned from, and those that are
 
         def flush():
             keys = list(set().union(*held))
-            columns = [np.fromiter(map(h.get, keys, repeat(0)), np.int64, len(keys)) for h in held]
-            total = np.sum(columns, axis=0)
+            other, c = (np.fromiter(map(h.get, keys, repeat(0)), np.int64, len(keys)) for h in held)
             for at in range(0, len(keys), 50_000):
                 cut = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.binary()), pa.array(total[cut]), *(pa.array(c[cut]) for c in columns[:-1])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.binary()), pa.array((other + c)[cut]), pa.array(c[cut])], names)
             for h in held:
                 h.clear()
 
@@ -178,33 +236,204 @@ def word_counts(docs: DataFrame, text_col: str, train: Column, kind: Column, kin
         if any(held):
             yield from flush()
 
-    parts = slim.mapInArrow(run, ", ".join(["word binary", *(f"{x} long" for x in names[1:])]))
-    return parts.groupBy("word").agg(*(F.sum(x).alias(x) for x in names[1:]))
+    parts = slim.mapInArrow(run, "word binary, n long, c long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+
+def blocks(batch):
+    """``(first row, texts)`` of runs of a batch's rows that hold about ``BLOCK_BYTES`` (a longer text alone)."""
+    from .packing import text_bytes
+
+    for at in range(0, batch.num_rows, 512):
+        held, size, first = [], 0, at
+        for k, text in enumerate(text_bytes(batch.slice(at, 512).column("text")), at):
+            if held and size + len(text) > BLOCK_BYTES:
+                yield first, held
+                held, size, first = [], 0, k
+            held.append(text)
+            size += len(text)
+        if held:
+            yield first, held
+
 
+def text_grams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all positions of texts (given as tokens), and each text's positions."""
+    codes, counts = grams_of([w for ws in texts for w in ws], depth)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return codes, np.add.reduceat(counts, np.cumsum(lengths) - lengths)
 
-def gram_counts(words: DataFrame, depth: int, columns: list[str]) -> DataFrame:
-    """``gram`` and its counts over the distinct words, weighted by their training counts."""
+
+def gram_counts(docs: DataFrame, text_col: str, train: Column, kind: Column, kinds: int, depth: int) -> DataFrame:
+    """``gram, n, c0, ..., c{kinds}``: a gram's count in all texts, and in the training texts of each kind."""
+    place = F.when(F.coalesce(train, F.lit(False)), F.coalesce(kind, F.lit(0))).otherwise(kinds + 1)
+    slim = docs.select(F.col(text_col).cast("string").alias("text"), place.cast("int").alias("kind"))
+    names = ["gram", "n", *counts_of(kinds)]
 
     def run(batches):
         import pyarrow as pa
 
+        held = [[] for _ in range(kinds + 2)]  # by kind: distinct grams and their counts; the last: not learned from
+
+        def size():
+            return sum(len(g) for h in held for g, _ in h)
+
+        def compact():
+            for h in held:
+                if len(h) > 1:
+                    keys, inverse = np.unique(np.concatenate([g for g, _ in h]), return_inverse=True)
+                    h[:] = [(keys, np.bincount(inverse, np.concatenate([n for _, n in h])).astype(np.int64))]
+
+        def flush():
+            compact()
+            keys = np.unique(np.concatenate([g for h in held for g, _ in h]))
+            columns = [np.zeros(len(keys), np.int64) for _ in held]
+            for column, h in zip(columns, held):
+                for g, n in h:
+                    column[np.searchsorted(keys, g)] = n
+                h.clear()
+            total = np.sum(columns, axis=0)
+            for at in range(0, len(keys), 50_000):
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut].astype(np.int64)), pa.array(total[cut]), *(pa.array(c[cut]) for c in columns[:-1])], names)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, counts = grams_of(batch.column(0).to_pylist(), depth)
-            keys, inverse = np.unique(codes, return_inverse=True)
-            sums = [np.bincount(inverse, np.repeat(batch.column(k).to_numpy(), counts).astype(float), len(keys)).astype(np.int64) for k in range(1, 1 + len(columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *map(pa.array, sums)], ["gram", *columns])
+            places = batch.column("kind").to_numpy()
+            for first, texts in blocks(batch):
+                at = places[first: first + len(texts)]
+                for k in np.unique(at):
+                    codes, _ = text_grams([tokens(texts[j]) for j in np.flatnonzero(at == k)], depth)
+                    held[k].append(np.unique(codes, return_counts=True))
+                if size() > 2 * FLUSH_GRAMS:
+                    compact()
+                    if size() > FLUSH_GRAMS:
+                        yield from flush()
+        if any(held):
+            yield from flush()
+
+    parts = slim.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return parts.groupBy("gram").agg(*(F.sum(x).alias(x) for x in names[1:]))
+
+
+# ---------------------------------------------------------------- the tree as tables
+
+
+def by_context(df: DataFrame, key: str, length: int, *order: str) -> DataFrame:
+    """Rows of each last ``length`` bytes of context, column ``group``, together in one task."""
+    group = F.shiftright(key, 8).bitwiseAND(F.lit((1 << (8 * length)) - 1))
+    return df.withColumn("group", group).repartition("group").sortWithinPartitions("group", *order, key)
+
+
+def gram_scores(grams: DataFrame, kinds: int, depth: int) -> DataFrame:
+    """``gram, n, s0, s1, ...``: each gram's log10 probability by the tree of all texts and by each kind's."""
+    spark, columns, low = grams.sparkSession, counts_of(kinds), min(2, depth)
+    trees = range(kinds + 1)
+    nodes = ["key", *(f"{x}{t}" for t in trees for x in "zow")]
+    links = ["key", *(f"{x}{t}" for t in trees for x in "ab")]
 
-    schema = ", ".join(["gram long", *(f"{c} long" for c in columns)])
-    return words.select("word", *columns).mapInArrow(run, schema).groupBy("gram").agg(*(F.sum(c).alias(c) for c in columns))
+    def ddl(names):
+        return ", ".join(f"{x} {'long' if x in ('key', 'gram', 'n') else 'double'}" for x in names)
+
+    def batches_of(keys, values, names):
+        import pyarrow as pa
+
+        for at in range(0, len(keys), 50_000):
+            cut = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].astype(np.int64)), *(pa.array(v[cut]) for v in values)], names)
+
+    def floats(table, names):
+        return [table.column(x).to_numpy().astype(float) for x in names]
+
+    def learned(table):
+        counts = floats(table, columns)
+        return [sum(counts), *counts[1:]]
+
+    def climb(table, deep, top):
+        """Node keys, the ladder above them and each tree's levels and weighted ln probabilities at the top."""
+        keys = table.column("key").to_numpy().astype(np.uint64)
+        order = np.argsort(keys)
+        values = [v[order] for v in floats(table, nodes[1:])]
+        tops, up = ladder(keys[order], deep, top)
+        return keys[order], tops, up, [weigh(*values[3 * t: 3 * t + 3], up) for t in trees]
+
+    def lift_grams(batches):
+        for table in whole_groups(batches):
+            codes = table.column("gram").to_numpy().astype(np.uint64)
+            yield from batches_of(*top_nodes(codes, learned(table), depth, low), nodes)
+
+    def lift_nodes(batches):
+        for table in whole_groups(batches):
+            _, tops, _, found = climb(table, low, 1)
+            yield from batches_of(tops, [x for levels, weighted in found for x in (*levels[-1][:2], weighted)], nodes)
+
+    lower = upper = materialise(by_context(grams, "gram", low).mapInArrow(lift_grams, ddl(nodes)), "lm-nodes")
+    if low > 1:
+        upper = by_context(lower, "key", 1).mapInArrow(lift_nodes, ddl(nodes))
+    keys, tops, up, found = climb(upper.toArrow(), 1, 0)
+    given = [x for levels, _ in found for x in descend(levels, up, np.zeros(len(tops)), np.ones(len(tops)))]
+    path = work_path(spark, "lm-top")
+    write_file(path, pickle.dumps((keys, given)))
+
+    def lower_nodes(batches):
+        known, values = pickle.loads(read_file(path))
+        for table in whole_groups(batches):
+            keys, tops, up, found = climb(table, low, 1)
+            at = np.searchsorted(known, tops)
+            out = [x for t in trees for x in descend(found[t][0], up, values[2 * t][at], values[2 * t + 1][at])]
+            yield from batches_of(keys, out, links)
+
+    def from_top(batches):
+        known, values = pickle.loads(read_file(path))
+        for _ in batches:
+            pass
+        yield from batches_of(known, values, links)
+
+    if low > 1:
+        above = by_context(lower, "key", 1).mapInArrow(lower_nodes, ddl(links))
+    else:
+        above = spark.range(1, numPartitions=1).mapInArrow(from_top, ddl(links))
+    names = ["gram", "n", *(f"s{t}" for t in trees)]
+
+    def score_grams(batches):
+        import pyarrow.compute as pc
+
+        for table in whole_groups(batches):
+            linked = table.filter(pc.equal(table.column("tag"), 0))
+            table = table.filter(pc.equal(table.column("tag"), 1))
+            known = linked.column("key").to_numpy().astype(np.uint64)
+            order = np.argsort(known)
+            known = known[order]
+            values = [v[order] for v in floats(linked, links[1:])]
+            codes = table.column("key").to_numpy().astype(np.uint64)
+            out = []
+            for t, counts in enumerate(learned(table)):
+                def above(tops, t=t):
+                    at = np.searchsorted(known, tops)
+                    return values[2 * t][at], values[2 * t + 1][at]
+
+                out.append(tree_log10(codes, counts, depth, low, above))
+            yield from batches_of(codes, [table.column("n").to_numpy(), *out], names)
+
+    both = grams.withColumnRenamed("gram", "key").withColumn("tag", F.lit(1)).unionByName(above.withColumn("tag", F.lit(0)), allowMissingColumns=True)
+    return by_context(both, "key", low, "tag").mapInArrow(score_grams, ddl(names))
+
+
+def most_frequent(table: DataFrame, head: int) -> DataFrame:
+    """The rows of the least count such that no more than ``head`` rows reach it, by powers of 2^(1/8)."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, least = head, None
+    for r in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["level"]
+    return table.where(level >= least) if least is not None else table.limit(0)
 
 
 @dataclass(frozen=True)
 class Model:
     """A fitted model: where its tables lie, and its totals."""
 
-    words: DataFrame  # word, c, n, base, and s0, s1, ... of each tree
+    words: DataFrame  # word, c, n, base
+    grams: DataFrame  # gram, n, and s0, s1, ... of each tree
     head_path: str
     depth: int
     kinds: tuple
@@ -212,8 +441,11 @@ class Model:
     train_types: int
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", kind_col: str | None = None, depth: int = DEPTH, max_grams: int = MAX_GRAMS, head: int = HEAD) -> Model:
-    """Learn from the rows where ``train`` holds; other rows only tell which words to score."""
+def fit(docs: DataFrame, train: Column, text_col: str = "text", kind_col: str | None = None, depth: int = DEPTH, max_grams: int | None = None, head: int = HEAD) -> Model:
+    """Learn from the rows where ``train`` holds; other rows only tell which words and grams to score.
+
+    Only a caller who gives ``max_grams`` gets a shallower tree when there are more grams.
+    """
     spark = docs.sparkSession
     kinds: list = []
     if kind_col:
@@ -223,57 +455,27 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", kind_col: str |
     for k, name in enumerate(kinds, 1):
         kind = F.when(F.col(kind_col) == name, k).otherwise(kind)
     columns = counts_of(len(kinds))
-    raw = materialise(word_counts(docs, text_col, train, kind, len(kinds)), "lm-words")
-    every = sum((F.col(c) for c in columns), F.lit(0))
-    counts = raw.withColumn("c", every)
+    counts = materialise(word_counts(docs, text_col, train), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    words = counts.withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
 
-    grams = materialise(gram_counts(raw, depth, columns), "lm-grams")
-    while grams.count() > max_grams and depth > 1:
+    grams = materialise(gram_counts(docs, text_col, train, kind, len(kinds), depth), "lm-grams")
+    while max_grams is not None and depth > 1 and grams.count() > max_grams:
         shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
         depth -= 1
-        grams = materialise(grams.groupBy(shorter.alias("gram")).agg(*(F.sum(c).alias(c) for c in columns)), "lm-grams")
-    table = grams.toArrow()
-    codes = table.column("gram").to_numpy().astype(np.uint64)
-    order = np.argsort(codes)
-    codes = codes[order]
-    learned = [table.column(c).to_numpy().astype(float)[order] for c in columns]
-    trees = [sum(learned), *learned[1:]]
-    del table, learned, order
-    gram_path = work_path(spark, "lm-tree")
-    write_file(gram_path, pickle.dumps((codes, [tree_log10(codes, t, depth) if len(codes) else np.zeros(0) for t in trees])))
-    names = [f"s{k}" for k in range(len(trees))]
-
-    def score_words(batches):
-        import pyarrow as pa
+        grams = materialise(grams.groupBy(shorter.alias("gram")).agg(*(F.sum(c).alias(c) for c in ("n", *columns))), "lm-grams")
+    scored = materialise(gram_scores(grams, len(kinds), depth), "lm-scored-grams")
 
-        known, values = _load(gram_path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, counts = grams_of(batch.column(0).to_pylist(), depth)
-            keys, inverse = np.unique(codes, return_inverse=True)
-            at, first = np.searchsorted(known, keys)[inverse], np.cumsum(counts) - counts
-            scores = [np.add.reduceat(v[at], first) for v in values]
-            base = np.log10((batch.column(1).to_numpy() + 1) / (n + v + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), *map(pa.array, scores)], ["word", "c", "n", "base", *names])
-
-    schema = ", ".join(["word binary, c long, n long, base double", *(f"{x} double" for x in names)])
-    words = materialise(counts.select("word", "c", "n").mapInArrow(score_words, schema), "lm-scored-words")
-
-    # the least count such that no more than `head` words reach it, by powers of 2^(1/8)
-    level = F.floor(F.log2("n") * 8).cast("int")
-    left, least = head, None
-    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["level"]
     head_path = work_path(spark, "lm-head")
-    kept = words.where(level >= least) if least is not None else words.limit(0)
-    top = kept.select("word", "c", "base", *names).toArrow()
+    top = most_frequent(words, head).select("word", "c", "base").toArrow()
     index = {w: k for k, w in enumerate(top.column("word").to_pylist())}
-    write_file(head_path, pickle.dumps((index, *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base", *names)))))
-    return Model(words, head_path, depth, tuple(kinds), n, v)
+    parts = [index, *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base"))]
+    top = most_frequent(scored, GRAMS_A_WORD * head).drop("n").toArrow()
+    codes = top.column("gram").to_numpy()
+    order = np.argsort(codes)
+    values = [np.append(top.column(f"s{k}").to_numpy()[order], 0) for k in range(len(columns))]
+    write_file(head_path, pickle.dumps((*parts, codes[order].astype(np.uint64), values)))
+    return Model(words, scored, head_path, depth, tuple(kinds), n, v)
 
 
 _LOADED: dict[str, tuple] = {}
@@ -294,43 +496,55 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     with a word that was not there raises an error.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    head_path = model.head_path
+    head_path, depth = model.head_path, model.depth
     names = [f"s{k}" for k in range(len(model.kinds) + 1)]
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .packing import text_bytes
-
-        index, c, base, *values = _load(head_path)
+        index, c, base, known_grams, values = _load(head_path)
         known = (c > 0).astype(np.int64)
         get, uid = index.get, TaskContext.get().partitionId() << 33
-        kinds = [pa.int64()] * 4 + [pa.float64()] * (1 + len(names)) + [pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))]
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for text in text_bytes(part.column(1)):
-                    ws = tokens(text)
+            for first, texts in blocks(batch):
+                rows, split = [], [tokens(text) for text in texts]
+                for text, ws in zip(texts, split):
                     idx = np.array(list(map(get, ws, repeat(-1))), np.int64)
                     rare = Counter([ws[k] for k in np.flatnonzero(idx < 0)])
-                    sums = (float(x[idx].sum()) for x in (base, *values))
-                    rows.append((uid, len(ws), len(text), int(known[idx].sum()), *sums, [{"word": w, "k": k} for w, k in rare.items()]))
+                    rows.append((uid, len(ws), len(text), int(known[idx].sum()), float(base[idx].sum()), [{"word": w, "k": k} for w, k in rare.items()]))
                     uid += 1
+                codes, counts = text_grams(split, depth)
+                keys, inverse = np.unique(codes, return_inverse=True)
+                at = np.searchsorted(known_grams, keys)
+                at[np.append(known_grams, 0)[at] != keys] = len(known_grams)
+                spot, begin = at[inverse], np.cumsum(counts) - counts
+                sums = [np.add.reduceat(x[spot], begin) for x in values]
+                lost = np.flatnonzero(spot == len(known_grams))
+                pair, k = np.unique(np.repeat(np.arange(len(texts)), counts)[lost] * len(keys) + inverse[lost], return_counts=True)
+                gram = pa.StructArray.from_arrays([pa.array(keys[pair % len(keys)].astype(np.int64)), pa.array(k.astype(np.int32))], ["gram", "k"])
+                ends = np.searchsorted(pair // len(keys), np.arange(len(texts) + 1))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", *names, "rare"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), *(pa.array(x, t) for x, t in zip(cols, kinds)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), gram)],
+                    ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", "rare", *names, "rare_grams"],
+                )
 
-    ddl = "uid long, n_tokens long, n_bytes long, n_known long, base_score double, " + "".join(f"{x} double, " for x in names) + "rare array<struct<word: binary, k: int>>"
+    ddl = "uid long, n_tokens long, n_bytes long, n_known long, base_score double, rare array<struct<word: binary, k: int>>, " + "".join(f"{x} double, " for x in names) + "rare_grams array<struct<gram: long, k: int>>"
     first = materialise(slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(ddl)])), "lm-head-scores")
-    table = model.words.select("word", "c", "base", *(F.col(x).alias(f"w{x}") for x in names))
     lost = F.raise_error(F.lit("a text holds words that were not among the documents given to fit")).cast("boolean")
-    rare = first.select("uid", F.inline("rare")).join(table, "word", "left").where(F.when(F.col("c").isNull(), lost).otherwise(F.lit(True)))
-    sums = rare.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b"), *(F.sum(F.col("k") * F.col(f"w{x}")).alias(f"w{x}") for x in names)
+
+    def joined(column: str, table: DataFrame, key: str, found: str) -> DataFrame:
+        rows = first.select("uid", F.inline(column)).join(table, key, "left")
+        return rows.where(F.when(F.col(found).isNull(), lost).otherwise(F.lit(True))).groupBy("uid")
+
+    words = joined("rare", model.words.select("word", "c", "base"), "word", "c").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b")
     )
+    grams = joined("rare_grams", model.grams.drop("n"), "gram", "s0").agg(*(F.sum(F.col("k") * F.col(x)).alias(f"w{x}") for x in names))
     zero = F.lit(0)
-    whole = first.drop("rare").join(sums, "uid", "left").select(
+    whole = first.drop("rare", "rare_grams").join(words, "uid", "left").join(grams, "uid", "left").select(
         "doc_id",
         "n_tokens",
         "n_bytes",
