@@ -146,3 +146,21 @@ def test_depth_does_not_depend_on_the_input(spark, monkeypatch):
         for k, counts in enumerate([sum(c), c[1], c[2]]):
             assert np.allclose(got[f"s{k}"], tree_log10(codes, counts, depth), rtol=0, atol=1e-9)
         assert (got["n"].to_numpy() >= sum(c)).all()
+
+
+def test_contexts_reach_into_the_words_before(spark):
+    """A text's score depends on the order of its words, and is the sum over the bytes of the whole text."""
+    docs = [(1, "Red fox  ran", True), (2, "red fox ate", True), (3, "red fox ran", False), (4, "ran fox red", False), (5, None, True)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, train boolean")
+    rows = {}
+    for head in (100, 0):
+        rows = {r["doc_id"]: r for r in score(df, fit(df, F.col("train"), depth=5, head=head)).collect()}
+        texts = [b"     red fox ran \n", b"     red fox ate \n", b"     red fox ran \n", b"     ran fox red \n", b"     \n"]
+        grams = [[int.from_bytes(t[k: k + 6], "big") for k in range(len(t) - 5)] for t in texts]
+        learned = Counter(grams[0] + grams[1] + grams[4])
+        keys = sorted(set().union(*grams))
+        value = dict(zip(keys, tree_log10(np.array(keys, np.uint64), np.array([float(learned[g]) for g in keys]), 5)))
+        for i, own in enumerate(grams, 1):
+            assert rows[i]["score"] == pytest.approx(sum(value[g] for g in own), abs=1e-9)
+    assert rows[3]["score"] > rows[4]["score"] + 1
+    assert rows[3]["base_score"] == pytest.approx(rows[4]["base_score"])

@@ -3,11 +3,11 @@
 Texts are tokens: ASCII letters lower-cased, words between ASCII white space,
 then one end. A word is coded as its bytes and a closing byte. Each byte is
 decomposed into eight binary decisions; every decision node keeps zero and one
-counts for each context of 0 to ``depth`` bytes before it (contexts stop at
-the start of the word), and the Krichevsky-Trofimov estimates of all depths
-are mixed with the weights of context-tree weighting, taken from the counts of
-all training texts. A context that training never reached takes no part. The
-code length of a token is the same wherever it stands.
+counts for each context of 0 to ``depth`` bytes before it (words before the
+byte's own included; blanks stand before a text's start), and the
+Krichevsky-Trofimov estimates of all depths are mixed with the weights of
+context-tree weighting, taken from the counts of all training texts. A context
+that training never reached takes no part.
 
 There is one tree over all training texts and, if a column names the kind of a
 training text (its language, say), one for each of the ``MAX_KINDS`` commonest
@@ -78,10 +78,13 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - shift
 
 
-def grams_of(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of every position's ``depth`` context bytes and next byte, and each word's positions."""
+def grams_of(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of every position's ``depth`` context bytes and next byte, and each unit's positions.
+
+    A unit is a word, or words between closing bytes up to an end; its context starts as blanks.
+    """
     pad = bytes([START]) * depth
-    parts = [pad + (w if w == END else w + bytes([CLOSE])) for w in words]
+    parts = [pad + (u if u.endswith(END) else u + bytes([CLOSE])) for u in units]
     flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
     code = np.zeros(len(flat) - depth if len(flat) else 0, np.uint64)
     for k in range(depth + 1):
@@ -258,9 +261,7 @@ def blocks(batch):
 
 def text_grams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all positions of texts (given as tokens), and each text's positions."""
-    codes, counts = grams_of([w for ws in texts for w in ws], depth)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    return codes, np.add.reduceat(counts, np.cumsum(lengths) - lengths)
+    return grams_of([bytes([CLOSE]).join(ws) for ws in texts], depth)
 
 
 def gram_counts(docs: DataFrame, text_col: str, train: Column, kind: Column, kinds: int, depth: int) -> DataFrame:
