@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilmatch.functions.normalize import decode, normalize, normalize_value
+from veilmatch.plans.queries import QUERIES
 from veilmatch.plans.schema import ADDRESS, CONTACT, DATE, IDENTIFIER, NAME, FieldPath, path
 
 G, FAM, LOC, POST, COUNTRY = path(NAME, "given"), path(NAME, "family"), path(ADDRESS, "locality"), path(ADDRESS, "postal_code"), path(ADDRESS, "country")
@@ -77,3 +78,10 @@ def test_native_path_equals_the_other_on_ascii(spark):
 def test_decode_merges_runs_only():
     assert decode(b"\xff\xfea\xffb") == "�a�b" and decode("��".encode()) == "��"
     assert unicodedata.normalize("NFKD", decode(b"\xed\xa0\x80")) == "�"
+
+
+def test_whole_texts_are_normalised(spark, tmp_path):
+    texts = [None, "", "Ab  C" * 40 + " \u00c9nd ", "x" * 60 + "  \ufb01\u00a0\u00dc", " a" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["value"], r["error"]) for r in QUERIES["normalize_name_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: (None if t is None else normalize_value(t, G), None) for k, t in enumerate(texts)}

@@ -164,6 +164,12 @@ def normalize_name(spark, sf):
     return table(spark, sf, "documents").select("doc_id", n["value"].alias("value"), n["error"].alias("error"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS value, CAST(NULL AS VARCHAR) AS error FROM documents""")
+def normalize_name_whole(spark, sf):
+    n = normalize(F.col("text"), path(NAME, "given"))
+    return table(spark, sf, "documents").select("doc_id", n["value"].alias("value"), n["error"].alias("error"))
+
+
 @query("SELECT c_custkey AS id, translate(lower(n_name || '-' || c_custkey || '. ' || c_name), '-. ', '') AS value FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def normalize_identifier(spark, sf):
     raw = F.concat("area", F.lit("-"), F.col("id").cast("string"), F.lit(". "), "name")
