@@ -1,4 +1,3 @@
-import inspect
 import math
 import random
 import re
@@ -9,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmatch.llm import scoring
-from veilmatch.llm.scoring import fit, gram_counts, grams_of, log_gamma, score, tree_log10
+from veilmatch.llm.scoring import blocks, fit, grams_of, log_gamma, score, tree_log10, windows
 
 
 class Tree:
@@ -94,27 +93,40 @@ def test_base_and_scores(spark):
         assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in rows) == want
         scores.append(sorted(round(r["score"], 6) for r in rows))
     assert scores[0] == scores[1] == scores[2]
-    assert fit(df, F.col("train"), max_grams=1).depth == 1
-    with pytest.raises(Exception, match="not among the documents"):
-        score(spark.createDataFrame([(1, "neverseen")], "doc_id long, text string"), model).collect()
     empty = df.limit(0)
     assert score(empty, fit(empty, F.col("train"))).count() == 0
     none = score(df, fit(df, F.lit(None).cast("boolean")))
     assert none.where("n_known > 0").count() == 0
 
 
-def test_kinds_are_mixed(spark):
-    """With a column of kinds, a text's probability is the mean of what the trees of all texts and of each kind give."""
-    docs = [(1, "aa ab aa", "x", True), (2, "zz zy", "y", True), (3, "zz zz", "y", True), (4, "aa zz", None, True), (5, "aa aa ab", "y", False), (6, None, "x", False)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, s0 string, train boolean")
-    got = {r["doc_id"]: r["score"] for r in score(df, fit(df, F.col("train"), kind_col="s0", depth=2)).collect()}
-    parts = []
-    for own in (lambda d: True, lambda d: d[2] == "y", lambda d: d[2] == "x"):
-        learn = df.where(F.col("doc_id").isin([d[0] for d in docs if own(d) and d[3]]))
-        marked = learn.withColumn("train", F.lit(True)).unionByName(df.withColumn("train", F.lit(False)))
-        parts.append({r["doc_id"]: r["score"] for r in score(df, fit(marked, F.col("train"), depth=2)).collect()})
-    for i in got:
-        assert got[i] == pytest.approx(math.log10(sum(10 ** p[i] for p in parts) / 3), abs=1e-9)
+def test_texts_that_fit_did_not_meet(spark):
+    """They get what they would have got as rows of ``fit`` that are not for training."""
+    learn = [(1, "abc abd abc"), (2, "abd xyz"), (3, None)]
+    asked = [(4, "abc abd"), (5, "never seen \u00e9"), (6, ""), (7, "zzz abc"), (7, "zzz abc")]
+    ddl = "doc_id long, text string"
+    whole = spark.createDataFrame([(*r, r in learn) for r in learn + asked], f"{ddl}, train boolean")
+    want = {r["doc_id"]: r for r in score(whole, fit(whole, F.col("train"), depth=4)).collect()}
+    for head in (10**6, 2, 0):
+        model = fit(spark.createDataFrame(learn, ddl), F.lit(True), depth=4, head=head)
+        rows = score(spark.createDataFrame(asked, ddl), model).collect()
+        assert sorted(r["doc_id"] for r in rows) == [4, 5, 6, 7, 7]
+        for r in rows:
+            for name in ("n_tokens", "n_bytes", "n_known", "base_score", "score"):
+                assert r[name] == pytest.approx(want[r["doc_id"]][name], abs=1e-9)
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    texts = [[b"ab", b"cde", b"\n"], [b"\n"], [b"x" * 50, b"yz" * 30, b"\n"]]
+    want, lengths = grams_of([b" ".join(t) for t in texts], 3)
+    for size in (1, 7, 64, 10**6):
+        monkeypatch.setattr(scoring, "BLOCK_BYTES", size)
+        got = [[] for _ in texts]
+        for numbers, parts in blocks(texts, 3):
+            codes, places = windows(parts, 3)
+            for k, piece in zip(numbers, np.split(codes, np.cumsum(places)[:-1])):
+                got[k] += piece.tolist()
+        assert [len(g) for g in got] == lengths.tolist()
+        assert sum(got, []) == want.tolist()
 
 
 def test_chances_sum_to_one():
@@ -128,24 +140,25 @@ def test_chances_sum_to_one():
         assert abs((10 ** got[np.searchsorted(keys, asked)]).sum() - 1) < 1e-9
 
 
-def test_depth_does_not_depend_on_the_input(spark, monkeypatch):
-    """The tree in tables gives what one tree over all grams gives, for more grams than a task works on at once."""
+def test_tree_in_tables(spark, monkeypatch):
+    """It gives what one tree over all grams gives, for more grams than a task works on at once."""
     rng = random.Random(5)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(60)]
-    df = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
-    train = F.col("doc_id") % 4 != 1
-    monkeypatch.setattr(scoring, "BLOCK_ROWS", 50)
-    assert inspect.signature(fit).parameters["max_grams"].default is None
-    for depth in (1, 2, 3, 5):
-        model = fit(df, train, kind_col="lang", depth=depth, head=3)
-        assert model.depth == depth
-        grams = gram_counts(df, "text", train, F.when(F.col("lang") == model.kinds[0], 1).otherwise(2), 2, depth).toPandas()
-        codes, c = grams["gram"].to_numpy().astype(np.uint64), [grams[f"c{k}"].to_numpy().astype(float) for k in range(3)]
-        assert depth < 5 or len(codes) > 1000
-        got = model.grams.toPandas().set_index("gram").loc[grams["gram"]]
-        for k, counts in enumerate([sum(c), c[1], c[2]]):
-            assert np.allclose(got[f"s{k}"], tree_log10(codes, counts, depth), rtol=0, atol=1e-9)
-        assert (got["n"].to_numpy() >= sum(c)).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for name, value in (("BLOCK_GRAMS", 50), ("ROW_GRAMS", 7), ("FLUSH_GRAMS", 900), ("BLOCK_BYTES", 1000)):
+        monkeypatch.setattr(scoring, name, value)
+    for depth in (1, 2, 3, 6):
+        model = fit(df, F.col("doc_id") % 4 != 1, depth=depth, head=3)
+        all_codes, learned = Counter(), Counter()
+        for i, text in enumerate(texts):
+            own = grams_of([b" ".join(scoring.tokens(text.encode()))], depth)[0].tolist()
+            all_codes.update(own)
+            learned.update(own if i % 4 != 1 else [])
+        keys = np.array(sorted(all_codes), np.uint64)
+        want = tree_log10(keys, np.array([float(learned[g]) for g in keys.tolist()]), depth)
+        got = model.grams.orderBy("gram").toPandas()
+        assert got["gram"].tolist() == keys.tolist() and got["n"].tolist() == [all_codes[g] for g in keys.tolist()]
+        assert np.allclose(got["s"], want, rtol=0, atol=1e-9)
 
 
 def test_contexts_reach_into_the_words_before(spark):

@@ -9,24 +9,21 @@ Krichevsky-Trofimov estimates of all depths are mixed with the weights of
 context-tree weighting, taken from the counts of all training texts. A context
 that training never reached takes no part.
 
-There is one tree over all training texts and, if a column names the kind of a
-training text (its language, say), one for each of the ``MAX_KINDS`` commonest
-kinds. A text's probability is the even mixture of what the trees give it; its
-own kind is not looked at.
-
-How it scales: words and grams (context and next byte) are counted in every
-task, then summed by key, and stay tables. The tree is never in one place: a
-task weighs the nodes below whole contexts of two bytes, hands the top nodes on
+How it scales: every task counts its texts' grams (context and next byte) and
+hands on sorted runs of distinct ones, packed by bucket; a bucket holds whole
+contexts of three bytes. Runs are merged by bucket, and the tree is never in
+one place: a bucket weighs the nodes below its contexts, hands the top nodes on
 to tasks that hold whole contexts of one byte, and only the nodes of one byte
-of context, 65,280 at most, meet on the driver; what the upper nodes give to the
-lower ones comes back the same way. The depth is the same for any input.
+of context, 65,280 at most, meet on the driver; what the upper nodes give to
+the lower ones comes back the same way. The depth is the same for any input.
 Scores of the ``head`` most frequent words and of ``GRAMS_A_WORD`` times as many
 grams, fixed numbers, go to every task; rarer ones are joined. Both ways are
 always in use and give the same sums.
 
 Defined cases: a null or empty text is the end token alone; a null id counts
 as training when its CRC rule says so; repeated rows are scored each; an empty
-table gives no rows; the input's other columns are ignored.
+table gives no rows; a very long text is worked on in pieces that carry their
+context; the input's other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,18 +40,23 @@ from pyspark.sql import types as T
 
 from .common import claim, materialise, read_file, work_path, write_file
 
-DEPTH = 5
-MAX_KINDS = 6
+#: Bytes of context. A gram fills 56 bits; the other eight number a block's texts.
+DEPTH = 6
 HEAD = 262_144
-GRAMS_A_WORD = 4
+GRAMS_A_WORD = 8
 #: Distinct words and grams a task holds before it hands its counts on.
 FLUSH_WORDS = 600_000
-FLUSH_GRAMS = 1_500_000
-#: Bytes of text and rows of grams that are worked on at once.
+FLUSH_GRAMS = 3_000_000
+#: Bytes and texts that are counted or scored at once, grams of the tree that are weighed at once, grams in a packed row.
 BLOCK_BYTES = 4_000_000
-BLOCK_ROWS = 100_000
+BLOCK_TEXTS = 256
+BLOCK_GRAMS = 200_000
+ROW_GRAMS = 2_048
+BUCKETS = 4_096
+#: Bytes of context that a bucket holds whole.
+LOW = 3
 END = b"\n"
-START, CLOSE = 0x20, 0x20
+START, CLOSE = b" ", b" "
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -78,23 +80,19 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - shift
 
 
-def grams_of(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of every position's ``depth`` context bytes and next byte, and each unit's positions.
-
-    A unit is a word, or words between closing bytes up to an end; its context starts as blanks.
-    """
-    pad = bytes([START]) * depth
-    parts = [pad + (u if u.endswith(END) else u + bytes([CLOSE])) for u in units]
-    flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    code = np.zeros(len(flat) - depth if len(flat) else 0, np.uint64)
-    for k in range(depth + 1):
-        code = (code << np.uint64(8)) | flat[k: k + len(code)]
+def windows(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ``depth`` context bytes and next byte at each place of parts that open with their context, and each part's places."""
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    counts = lengths - depth
-    begin = np.cumsum(lengths) - lengths
-    first = np.cumsum(counts) - counts
-    at = np.repeat(begin - first, counts) + np.arange(counts.sum())
-    return code[at], counts
+    flat = bytes(7) + b"".join(parts)
+    eight = np.ndarray((len(flat) - 7,), ">u8", flat, strides=(1,))  # the eight bytes up to each place
+    keep = np.ones(len(eight), bool)
+    keep[((np.cumsum(lengths) - lengths)[:, None] + np.arange(depth)).ravel()] = False
+    return eight[keep].astype(np.uint64) & np.uint64((1 << (8 * depth + 8)) - 1), lengths - depth
+
+
+def grams_of(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``windows``, for units that start after blanks: words, or words between closing bytes up to an end."""
+    return windows([START * depth + (u if u.endswith(END) else u + CLOSE) for u in units], depth)
 
 
 def split_bits(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +140,14 @@ def descend(levels: list[tuple], up: list[np.ndarray], alpha: np.ndarray, beta:
     return alpha, beta
 
 
+def decisions(codes: np.ndarray, counts: np.ndarray):
+    """For each bit: the nodes below which grams lie, each gram's place in them and bit, and the nodes' zeros and ones."""
+    for k in range(8):
+        key, bit = split_bits(codes, k)
+        keys, inverse = np.unique(key, return_inverse=True)
+        yield keys, inverse, bit, np.bincount(inverse, counts * (1 - bit), len(keys)), np.bincount(inverse, counts * bit, len(keys))
+
+
 def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 0, above=None) -> np.ndarray:
     """log10 probability of each gram's last byte in its context.
 
@@ -150,10 +156,7 @@ def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 0,
     and ``above`` tells the ``alpha`` and ``beta`` of given nodes at that depth.
     """
     total = np.zeros(len(codes))
-    for k in range(8):
-        key, bit = split_bits(codes, k)
-        keys, inverse = np.unique(key, return_inverse=True)
-        zeros, ones = np.bincount(inverse, counts * (1 - bit), len(keys)), np.bincount(inverse, counts * bit, len(keys))
+    for keys, inverse, bit, zeros, ones in decisions(codes, counts):
         tops, up = ladder(keys, depth, top)
         levels, _ = weigh(zeros, ones, kt_block(zeros, ones), up)
         alpha, beta = descend(levels, up, *(above(tops) if above else (np.zeros(len(tops)), np.ones(len(tops)))))
@@ -162,50 +165,119 @@ def tree_log10(codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 0,
     return total
 
 
-def top_nodes(codes: np.ndarray, trees: list[np.ndarray], depth: int, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys of the nodes at depth ``top``, and each tree's zeros, ones and weighted ln probability of them."""
+def top_nodes(codes: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys of the nodes at depth ``top``, and their zeros, ones and weighted ln probability."""
     found = []
-    for k in range(8):
-        key, bit = split_bits(codes, k)
-        keys, inverse = np.unique(key, return_inverse=True)
+    for keys, _, _, zeros, ones in decisions(codes, counts):
         tops, up = ladder(keys, depth, top)
-        values = []
-        for counts in trees:
-            zeros, ones = np.bincount(inverse, counts * (1 - bit), len(keys)), np.bincount(inverse, counts * bit, len(keys))
-            levels, weighted = weigh(zeros, ones, kt_block(zeros, ones), up)
-            values += [*levels[-1][:2], weighted]
-        found.append((tops, values))
-    return np.concatenate([t for t, _ in found]), [np.concatenate(c) for c in zip(*(v for _, v in found))]
+        levels, weighted = weigh(zeros, ones, kt_block(zeros, ones), up)
+        found.append((tops, *levels[-1][:2], weighted))
+    keys, *values = map(np.concatenate, zip(*found))
+    return keys, values
+
+
+# ---------------------------------------------------------------- counting
 
 
-def whole_groups(batches):
-    """Arrow tables of whole groups from batches that are sorted by ``group``."""
+class Tally:
+    """Sorted distinct marked grams (gram, then a bit for training) and their counts, from sorted runs of them."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.runs, self.size, self.most = [], 0, 2 * FLUSH_GRAMS
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.runs.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.most:
+            self.settled()
+            self.most = max(2 * FLUSH_GRAMS, 2 * self.size)
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.runs:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self.runs) > 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self.runs))
+            order = np.argsort(keys, kind="stable")  # merges runs that are sorted
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            self.runs = [(keys[first], np.add.reduceat(counts[order], first))]
+            self.size = len(first)
+        return self.runs[0]
+
+
+def unmarked(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams, and their counts in all texts and in training texts, from a settled tally."""
+    if not len(keys):
+        return keys, counts, counts
+    codes, marked = keys >> np.uint64(1), (keys & np.uint64(1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], np.add.reduceat(counts, first), np.add.reduceat(counts * marked, first)
+
+
+def bucket_of(contexts: np.ndarray) -> np.ndarray:
+    return (contexts * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
+
+
+def suffix(keys: np.ndarray, length: int) -> np.ndarray:
+    """The last ``length`` bytes of context of grams' or nodes' keys."""
+    return (keys >> np.uint64(8)) & np.uint64((1 << (8 * length)) - 1)
+
+
+#: Rows of packed arrays: grams with counts, nodes with zeros, ones and weights, or nodes with what lies above them.
+GRAMS, NODES, LINKS = 0, 1, 2
+PACKED = "bucket int, kind int, keys binary, values binary"
+
+
+def packed(kind: int, bucket: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
+    """Batches of packed rows, each of one bucket."""
     import pyarrow as pa
 
-    held, rows, enough = [], 0, BLOCK_ROWS
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, values = bucket[order], keys[order], np.stack(values)[:, order]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
+    cuts = [(a, min(a + ROW_GRAMS, e)) for s, e in zip(starts, [*starts[1:], len(keys)]) for a in range(s, e, ROW_GRAMS)]
+    for at in range(0, len(cuts), 512):
+        part = cuts[at: at + 512]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([bucket[a] for a, _ in part], pa.int32()),
+                pa.array([kind] * len(part), pa.int32()),
+                pa.array([keys[a:e].tobytes() for a, e in part], pa.binary()),
+                pa.array([values[:, a:e].tobytes() for a, e in part], pa.binary()),
+            ],
+            ["bucket", "kind", "keys", "values"],
+        )
+
+
+def rows_of(batches):
+    """``bucket, kind, keys, values`` of packed rows."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= enough:
-            table = pa.Table.from_batches(held).combine_chunks()
-            group = table.column("group").to_numpy()
-            cut = int(np.searchsorted(group, group[-1]))
-            if cut:
-                yield table.slice(0, cut)
-            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-            enough = max(BLOCK_ROWS, 2 * rows)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        for bucket, kind, keys, values in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "keys", "values"))):
+            keys = np.frombuffer(keys, np.uint64)
+            yield bucket, kind, keys, np.frombuffer(values, np.int64 if kind == GRAMS else np.float64).reshape(-1, len(keys))
 
 
-# ---------------------------------------------------------------- counting
+def whole_buckets(batches):
+    """A tally of the grams and the list of other rows of some whole buckets, from rows that are sorted by bucket."""
+    tally, others, size, last = Tally(), [], 0, None
+    for bucket, kind, keys, values in rows_of(batches):
+        if bucket != last and size >= BLOCK_GRAMS:
+            yield tally, others
+            tally, others, size = Tally(), [], 0
+        last, size = bucket, size + len(keys)
+        if kind == GRAMS:
+            tally.add(keys, values[0])
+        else:
+            others.append((keys, values))
+    if size:
+        yield tally, others
 
 
-def counts_of(kinds: int) -> list[str]:
-    """Names of the count columns: training texts of no named kind first, then by kind."""
-    return [f"c{k}" for k in range(kinds + 1)]
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
@@ -243,179 +315,116 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def blocks(batch):
-    """``(first row, texts)`` of runs of a batch's rows that hold about ``BLOCK_BYTES`` (a longer text alone)."""
-    from .packing import text_bytes
-
-    for at in range(0, batch.num_rows, 512):
-        held, size, first = [], 0, at
-        for k, text in enumerate(text_bytes(batch.slice(at, 512).column("text")), at):
-            if held and size + len(text) > BLOCK_BYTES:
-                yield first, held
-                held, size, first = [], 0, k
-            held.append(text)
-            size += len(text)
-        if held:
-            yield first, held
-
-
-def text_grams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all positions of texts (given as tokens), and each text's positions."""
-    return grams_of([bytes([CLOSE]).join(ws) for ws in texts], depth)
+def blocks(texts: list[list[bytes]], depth: int):
+    """``(numbers of the texts, parts)`` of at most about ``BLOCK_BYTES``, for ``windows``; a long text is cut into parts that repeat their context."""
+    numbers, held, size = [], [], 0
+    for k, words in enumerate(texts):
+        whole = START * depth + CLOSE.join(words)
+        for at in range(depth, len(whole), BLOCK_BYTES):
+            part = whole[at - depth: at + BLOCK_BYTES]
+            if held and size + len(part) > BLOCK_BYTES:
+                yield np.array(numbers), held
+                numbers, held, size = [], [], 0
+            numbers.append(k)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield np.array(numbers), held
 
 
-def gram_counts(docs: DataFrame, text_col: str, train: Column, kind: Column, kinds: int, depth: int) -> DataFrame:
-    """``gram, n, c0, ..., c{kinds}``: a gram's count in all texts, and in the training texts of each kind."""
-    place = F.when(F.coalesce(train, F.lit(False)), F.coalesce(kind, F.lit(0))).otherwise(kinds + 1)
-    slim = docs.select(F.col(text_col).cast("string").alias("text"), place.cast("int").alias("kind"))
-    names = ["gram", "n", *counts_of(kinds)]
+def gram_counts(docs: DataFrame, text_col: str, train: Column, depth: int) -> DataFrame:
+    """Packed rows of grams, marked for training, with each task's counts."""
+    low = min(LOW, depth)
+    slim = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).cast("int").alias("train"))
 
     def run(batches):
-        import pyarrow as pa
-
-        held = [[] for _ in range(kinds + 2)]  # by kind: distinct grams and their counts; the last: not learned from
+        from .packing import text_bytes
 
-        def size():
-            return sum(len(g) for h in held for g, _ in h)
-
-        def compact():
-            for h in held:
-                if len(h) > 1:
-                    keys, inverse = np.unique(np.concatenate([g for g, _ in h]), return_inverse=True)
-                    h[:] = [(keys, np.bincount(inverse, np.concatenate([n for _, n in h])).astype(np.int64))]
+        tally = Tally()
 
         def flush():
-            compact()
-            keys = np.unique(np.concatenate([g for h in held for g, _ in h]))
-            columns = [np.zeros(len(keys), np.int64) for _ in held]
-            for column, h in zip(columns, held):
-                for g, n in h:
-                    column[np.searchsorted(keys, g)] = n
-                h.clear()
-            total = np.sum(columns, axis=0)
-            for at in range(0, len(keys), 50_000):
-                cut = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut].astype(np.int64)), pa.array(total[cut]), *(pa.array(c[cut]) for c in columns[:-1])], names)
+            keys, counts = tally.settled()
+            yield from packed(GRAMS, bucket_of(suffix(keys >> np.uint64(1), low)), keys, [counts])
+            tally.clear()
 
         for batch in batches:
-            places = batch.column("kind").to_numpy()
-            for first, texts in blocks(batch):
-                at = places[first: first + len(texts)]
-                for k in np.unique(at):
-                    codes, _ = text_grams([tokens(texts[j]) for j in np.flatnonzero(at == k)], depth)
-                    held[k].append(np.unique(codes, return_counts=True))
-                if size() > 2 * FLUSH_GRAMS:
-                    compact()
-                    if size() > FLUSH_GRAMS:
+            for at in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(at, BLOCK_TEXTS)
+                marks = part.column(1).to_numpy().astype(np.uint64)
+                for numbers, held in blocks([tokens(t) for t in text_bytes(part.column(0))], depth):
+                    codes, lengths = windows(held, depth)
+                    tally.add(*np.unique(codes << np.uint64(1) | np.repeat(marks[numbers], lengths), return_counts=True))
+                if tally.size > FLUSH_GRAMS:
+                    tally.settled()
+                    if tally.size > FLUSH_GRAMS:
                         yield from flush()
-        if any(held):
-            yield from flush()
+        yield from flush()
 
-    parts = slim.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    return parts.groupBy("gram").agg(*(F.sum(x).alias(x) for x in names[1:]))
+    return slim.mapInArrow(run, PACKED)
 
 
 # ---------------------------------------------------------------- the tree as tables
 
 
-def by_context(df: DataFrame, key: str, length: int, *order: str) -> DataFrame:
-    """Rows of each last ``length`` bytes of context, column ``group``, together in one task."""
-    group = F.shiftright(key, 8).bitwiseAND(F.lit((1 << (8 * length)) - 1))
-    return df.withColumn("group", group).repartition("group").sortWithinPartitions("group", *order, key)
-
-
-def gram_scores(grams: DataFrame, kinds: int, depth: int) -> DataFrame:
-    """``gram, n, s0, s1, ...``: each gram's log10 probability by the tree of all texts and by each kind's."""
-    spark, columns, low = grams.sparkSession, counts_of(kinds), min(2, depth)
-    trees = range(kinds + 1)
-    nodes = ["key", *(f"{x}{t}" for t in trees for x in "zow")]
-    links = ["key", *(f"{x}{t}" for t in trees for x in "ab")]
-
-    def ddl(names):
-        return ", ".join(f"{x} {'long' if x in ('key', 'gram', 'n') else 'double'}" for x in names)
-
-    def batches_of(keys, values, names):
-        import pyarrow as pa
-
-        for at in range(0, len(keys), 50_000):
-            cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].astype(np.int64)), *(pa.array(v[cut]) for v in values)], names)
+def gram_scores(parts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Merged packed rows of the grams, and ``gram, n, s``: each gram's count in all texts and log10 probability."""
+    spark, low = parts.sparkSession, min(LOW, depth)
 
-    def floats(table, names):
-        return [table.column(x).to_numpy().astype(float) for x in names]
+    def merge(batches):
+        for tally, _ in whole_buckets(batches):
+            keys, counts = tally.settled()
+            yield from packed(GRAMS, bucket_of(suffix(keys >> np.uint64(1), low)), keys, [counts])
+            codes, _, c = unmarked(keys, counts)
+            tops, values = top_nodes(codes, c.astype(float), depth, low)
+            yield from packed(NODES, suffix(tops, 1).astype(np.int64), tops, values)
 
-    def learned(table):
-        counts = floats(table, columns)
-        return [sum(counts), *counts[1:]]
-
-    def climb(table, deep, top):
-        """Node keys, the ladder above them and each tree's levels and weighted ln probabilities at the top."""
-        keys = table.column("key").to_numpy().astype(np.uint64)
+    def climb(rows, deep, top):
+        """Node keys, those at the top, the ladder between and the levels with the top's weighted ln probability."""
+        keys, values = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows], 1)
         order = np.argsort(keys)
-        values = [v[order] for v in floats(table, nodes[1:])]
-        tops, up = ladder(keys[order], deep, top)
-        return keys[order], tops, up, [weigh(*values[3 * t: 3 * t + 3], up) for t in trees]
-
-    def lift_grams(batches):
-        for table in whole_groups(batches):
-            codes = table.column("gram").to_numpy().astype(np.uint64)
-            yield from batches_of(*top_nodes(codes, learned(table), depth, low), nodes)
+        keys = keys[order]
+        tops, up = ladder(keys, deep, top)
+        return keys, tops, up, weigh(*values[:, order], up)
 
     def lift_nodes(batches):
-        for table in whole_groups(batches):
-            _, tops, _, found = climb(table, low, 1)
-            yield from batches_of(tops, [x for levels, weighted in found for x in (*levels[-1][:2], weighted)], nodes)
-
-    lower = upper = materialise(by_context(grams, "gram", low).mapInArrow(lift_grams, ddl(nodes)), "lm-nodes")
-    if low > 1:
-        upper = by_context(lower, "key", 1).mapInArrow(lift_nodes, ddl(nodes))
-    keys, tops, up, found = climb(upper.toArrow(), 1, 0)
-    given = [x for levels, _ in found for x in descend(levels, up, np.zeros(len(tops)), np.ones(len(tops)))]
+        for _, rows in whole_buckets(batches):
+            _, tops, _, (levels, weighted) = climb(rows, low, 1)
+            yield from packed(NODES, np.zeros(len(tops), np.int64), tops, [*levels[-1][:2], weighted])
+
+    merged = materialise(together(parts).mapInArrow(merge, PACKED), "lm-grams")
+    grams, nodes = merged.where(F.col("kind") == GRAMS), merged.where(F.col("kind") == NODES)
+    upper = together(nodes).mapInArrow(lift_nodes, PACKED)
+    rows = [(k, v) for _, _, k, v in rows_of(upper.toArrow().to_batches())]
+    given = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    if rows:
+        keys, tops, up, (levels, _) = climb(rows, 1, 0)
+        given = (keys, *descend(levels, up, np.zeros(len(tops)), np.ones(len(tops))))
     path = work_path(spark, "lm-top")
-    write_file(path, pickle.dumps((keys, given)))
+    write_file(path, pickle.dumps(given))
 
     def lower_nodes(batches):
-        known, values = pickle.loads(read_file(path))
-        for table in whole_groups(batches):
-            keys, tops, up, found = climb(table, low, 1)
+        known, alpha, beta = pickle.loads(read_file(path))
+        for _, rows in whole_buckets(batches):
+            keys, tops, up, (levels, _) = climb(rows, low, 1)
             at = np.searchsorted(known, tops)
-            out = [x for t in trees for x in descend(found[t][0], up, values[2 * t][at], values[2 * t + 1][at])]
-            yield from batches_of(keys, out, links)
-
-    def from_top(batches):
-        known, values = pickle.loads(read_file(path))
-        for _ in batches:
-            pass
-        yield from batches_of(known, values, links)
-
-    if low > 1:
-        above = by_context(lower, "key", 1).mapInArrow(lower_nodes, ddl(links))
-    else:
-        above = spark.range(1, numPartitions=1).mapInArrow(from_top, ddl(links))
-    names = ["gram", "n", *(f"s{t}" for t in trees)]
+            yield from packed(LINKS, bucket_of(suffix(keys, low)), keys, list(descend(levels, up, alpha[at], beta[at])))
 
     def score_grams(batches):
-        import pyarrow.compute as pc
+        import pyarrow as pa
 
-        for table in whole_groups(batches):
-            linked = table.filter(pc.equal(table.column("tag"), 0))
-            table = table.filter(pc.equal(table.column("tag"), 1))
-            known = linked.column("key").to_numpy().astype(np.uint64)
+        for tally, rows in whole_buckets(batches):
+            known, links = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows], 1)
             order = np.argsort(known)
-            known = known[order]
-            values = [v[order] for v in floats(linked, links[1:])]
-            codes = table.column("key").to_numpy().astype(np.uint64)
-            out = []
-            for t, counts in enumerate(learned(table)):
-                def above(tops, t=t):
-                    at = np.searchsorted(known, tops)
-                    return values[2 * t][at], values[2 * t + 1][at]
-
-                out.append(tree_log10(codes, counts, depth, low, above))
-            yield from batches_of(codes, [table.column("n").to_numpy(), *out], names)
+            known, links = known[order], links[:, order]
+            codes, n, c = unmarked(*tally.settled())
+            scores = tree_log10(codes, c.astype(float), depth, low, lambda tops: links[:, np.searchsorted(known, tops)])
+            for at in range(0, len(codes), 50_000):
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[cut].astype(np.int64)), pa.array(n[cut]), pa.array(scores[cut])], ["gram", "n", "s"])
 
-    both = grams.withColumnRenamed("gram", "key").withColumn("tag", F.lit(1)).unionByName(above.withColumn("tag", F.lit(0)), allowMissingColumns=True)
-    return by_context(both, "key", low, "tag").mapInArrow(score_grams, ddl(names))
+    links = together(nodes).mapInArrow(lower_nodes, PACKED)
+    scored = together(grams.unionByName(links)).mapInArrow(score_grams, "gram long, n long, s double")
+    return grams, materialise(scored, "lm-scored-grams")
 
 
 def most_frequent(table: DataFrame, head: int) -> DataFrame:
@@ -434,49 +443,51 @@ class Model:
     """A fitted model: where its tables lie, and its totals."""
 
     words: DataFrame  # word, c, n, base
-    grams: DataFrame  # gram, n, and s0, s1, ... of each tree
+    counts: DataFrame  # packed rows of all grams
+    grams: DataFrame  # gram, n, s
     head_path: str
     depth: int
-    kinds: tuple
     train_tokens: int
     train_types: int
 
+    @property
+    def unseen(self) -> float:
+        """The base's log10 for a word that training doesn't hold."""
+        return -float(np.log10(self.train_tokens + self.train_types + 1))
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", kind_col: str | None = None, depth: int = DEPTH, max_grams: int | None = None, head: int = HEAD) -> Model:
-    """Learn from the rows where ``train`` holds; other rows only tell which words and grams to score.
 
-    Only a caller who gives ``max_grams`` gets a shallower tree when there are more grams.
-    """
+def fit(docs: DataFrame, train: Column, text_col: str = "text", depth: int = DEPTH, head: int = HEAD) -> Model:
+    """Learn from the rows where ``train`` holds; the words and grams of other rows are looked up in the same pass."""
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be from 1 to 6")
     spark = docs.sparkSession
-    kinds: list = []
-    if kind_col:
-        common = docs.where(F.coalesce(train, F.lit(False)) & F.col(kind_col).isNotNull()).groupBy(F.col(kind_col).alias("k")).count()
-        kinds = [r["k"] for r in common.orderBy(F.desc("count"), "k").limit(MAX_KINDS).collect()]
-    kind = F.lit(0)
-    for k, name in enumerate(kinds, 1):
-        kind = F.when(F.col(kind_col) == name, k).otherwise(kind)
-    columns = counts_of(len(kinds))
     counts = materialise(word_counts(docs, text_col, train), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     words = counts.withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))))
-
-    grams = materialise(gram_counts(docs, text_col, train, kind, len(kinds), depth), "lm-grams")
-    while max_grams is not None and depth > 1 and grams.count() > max_grams:
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
-        depth -= 1
-        grams = materialise(grams.groupBy(shorter.alias("gram")).agg(*(F.sum(c).alias(c) for c in ("n", *columns))), "lm-grams")
-    scored = materialise(gram_scores(grams, len(kinds), depth), "lm-scored-grams")
+    grams, scored = gram_scores(gram_counts(docs, text_col, train, depth), depth)
 
     head_path = work_path(spark, "lm-head")
     top = most_frequent(words, head).select("word", "c", "base").toArrow()
     index = {w: k for k, w in enumerate(top.column("word").to_pylist())}
     parts = [index, *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base"))]
-    top = most_frequent(scored, GRAMS_A_WORD * head).drop("n").toArrow()
-    codes = top.column("gram").to_numpy()
+    top = most_frequent(scored, GRAMS_A_WORD * head).select("gram", "s").toArrow()
+    codes = top.column("gram").to_numpy().astype(np.uint64)
     order = np.argsort(codes)
-    values = [np.append(top.column(f"s{k}").to_numpy()[order], 0) for k in range(len(columns))]
-    write_file(head_path, pickle.dumps((*parts, codes[order].astype(np.uint64), values)))
-    return Model(words, scored, head_path, depth, tuple(kinds), n, v)
+    write_file(head_path, pickle.dumps((*parts, codes[order], top.column("s").to_numpy()[order])))
+    return Model(words, grams, scored, head_path, depth, n, v)
+
+
+def new_grams(model: Model, grams: DataFrame) -> DataFrame:
+    """``gram, s`` of grams that ``fit`` did not meet: the tree is run again with them, at count zero."""
+    low = min(LOW, model.depth)
+
+    def run(batches):
+        for batch in batches:
+            keys = np.sort(batch.column(0).to_numpy().astype(np.uint64)) << np.uint64(1)
+            yield from packed(GRAMS, bucket_of(suffix(keys >> np.uint64(1), low)), keys, [np.zeros(len(keys), np.int64)])
+
+    _, scored = gram_scores(model.counts.unionByName(grams.mapInArrow(run, PACKED)), model.depth)
+    return scored.join(grams, "gram", "left_semi").select("gram", "s")
 
 
 _LOADED: dict[str, tuple] = {}
@@ -493,66 +504,69 @@ def _load(path: str) -> tuple:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_bytes, n_known, base_score, score`` of each row; scores are log10.
 
-    The rows must be among those given to ``fit``, for training or not; a text
-    with a word that was not there raises an error.
+    Rows that ``fit`` did not meet may be scored too; if they hold grams that are
+    new to the model, the tree is run again to tell those grams' chances.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     head_path, depth = model.head_path, model.depth
-    names = [f"s{k}" for k in range(len(model.kinds) + 1)]
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from .packing import text_bytes
+
         index, c, base, known_grams, values = _load(head_path)
         known = (c > 0).astype(np.int64)
         get, uid = index.get, TaskContext.get().partitionId() << 33
+        last = max(0, len(known_grams) - 1)
         kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))]
         for batch in batches:
-            for first, texts in blocks(batch):
+            for at in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(at, BLOCK_TEXTS)
+                texts = text_bytes(part.column(1))
                 rows, split = [], [tokens(text) for text in texts]
                 for text, ws in zip(texts, split):
-                    idx = np.array(list(map(get, ws, repeat(-1))), np.int64)
+                    idx = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
                     rare = Counter([ws[k] for k in np.flatnonzero(idx < 0)])
                     rows.append((uid, len(ws), len(text), int(known[idx].sum()), float(base[idx].sum()), [{"word": w, "k": k} for w, k in rare.items()]))
                     uid += 1
-                codes, counts = text_grams(split, depth)
-                keys, inverse = np.unique(codes, return_inverse=True)
-                at = np.searchsorted(known_grams, keys)
-                at[np.append(known_grams, 0)[at] != keys] = len(known_grams)
-                spot, begin = at[inverse], np.cumsum(counts) - counts
-                sums = [np.add.reduceat(x[spot], begin) for x in values]
-                lost = np.flatnonzero(spot == len(known_grams))
-                pair, k = np.unique(np.repeat(np.arange(len(texts)), counts)[lost] * len(keys) + inverse[lost], return_counts=True)
-                gram = pa.StructArray.from_arrays([pa.array(keys[pair % len(keys)].astype(np.int64)), pa.array(k.astype(np.int32))], ["gram", "k"])
-                ends = np.searchsorted(pair // len(keys), np.arange(len(texts) + 1))
+                sums, lost = np.zeros(len(rows)), []
+                for numbers, held in blocks(split, depth):
+                    codes, lengths = windows(held, depth)
+                    pairs, k = np.unique(codes << np.uint64(8) | np.repeat(numbers.astype(np.uint64), lengths), return_counts=True)
+                    codes, text = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
+                    spot = np.minimum(np.searchsorted(known_grams, codes), last)
+                    hit = known_grams[spot] == codes if len(known_grams) else np.zeros(len(codes), bool)
+                    sums += np.bincount(text[hit], k[hit] * values[spot[hit]], len(rows))
+                    lost.append((text[~hit], codes[~hit], k[~hit]))
+                text, codes, k = (np.concatenate(x) for x in zip(*lost))
+                order = np.argsort(text, kind="stable")
+                gram = pa.StructArray.from_arrays([pa.array(codes[order].astype(np.int64)), pa.array(k[order].astype(np.int32))], ["gram", "k"])
+                ends = np.searchsorted(text[order], np.arange(len(rows) + 1))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), *(pa.array(x, t) for x, t in zip(cols, kinds)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), gram)],
-                    ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", "rare", *names, "rare_grams"],
+                    [part.column(0), *(pa.array(x, t) for x, t in zip(cols, kinds)), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), gram)],
+                    ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", "rare", "score", "rare_grams"],
                 )
 
-    ddl = "uid long, n_tokens long, n_bytes long, n_known long, base_score double, rare array<struct<word: binary, k: int>>, " + "".join(f"{x} double, " for x in names) + "rare_grams array<struct<gram: long, k: int>>"
+    ddl = "uid long, n_tokens long, n_bytes long, n_known long, base_score double, rare array<struct<word: binary, k: int>>, score double, rare_grams array<struct<gram: long, k: int>>"
     first = materialise(slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(ddl)])), "lm-head-scores")
-    lost = F.raise_error(F.lit("a text holds words that were not among the documents given to fit")).cast("boolean")
-
-    def joined(column: str, table: DataFrame, key: str, found: str) -> DataFrame:
-        rows = first.select("uid", F.inline(column)).join(table, key, "left")
-        return rows.where(F.when(F.col(found).isNull(), lost).otherwise(F.lit(True))).groupBy("uid")
-
-    words = joined("rare", model.words.select("word", "c", "base"), "word", "c").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b")
+    words = first.select("uid", F.inline("rare")).join(model.words.select("word", "c", "base"), "word", "left").groupBy("uid").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.coalesce("base", F.lit(model.unseen))).alias("b")
     )
-    grams = joined("rare_grams", model.grams.drop("n"), "gram", "s0").agg(*(F.sum(F.col("k") * F.col(x)).alias(f"w{x}") for x in names))
+    lost = first.select("uid", F.inline("rare_grams"))
+    scored = model.grams.select("gram", "s")
+    new = materialise(lost.select("gram").distinct().join(scored, "gram", "left_anti"), "lm-new-grams")
+    if not new.isEmpty():
+        scored = scored.unionByName(new_grams(model, new))
+    grams = lost.join(scored, "gram").groupBy("uid").agg(F.sum(F.col("k") * F.col("s")).alias("w"))
     zero = F.lit(0)
-    whole = first.drop("rare", "rare_grams").join(words, "uid", "left").join(grams, "uid", "left").select(
+    return first.drop("rare", "rare_grams").join(words, "uid", "left").join(grams, "uid", "left").select(
         "doc_id",
         "n_tokens",
         "n_bytes",
-        (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
+        (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
         (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
-        *((F.col(x) + F.coalesce(f"w{x}", zero)).alias(x) for x in names),
+        (F.col("score") + F.coalesce("w", zero)).alias("score"),
     )
-    best = F.greatest(*(F.col(x) for x in names)) if len(names) > 1 else F.col("s0")
-    mixed = best + F.log10(sum((F.pow(F.lit(10.0), F.col(x) - best) for x in names), F.lit(0.0)) / len(names))
-    return whole.select("doc_id", "n_tokens", "n_bytes", "n_known", "base_score", mixed.alias("score"))
