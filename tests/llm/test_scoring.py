@@ -116,8 +116,8 @@ def test_texts_that_fit_did_not_meet(spark):
 
 
 def test_long_texts_are_cut_without_loss(monkeypatch):
-    texts = [[b"ab", b"cde", b"\n"], [b"\n"], [b"x" * 50, b"yz" * 30, b"\n"]]
-    want, lengths = grams_of([b" ".join(t) for t in texts], 3)
+    texts = [b" Ab\tcde", b"", b"x" * 50 + b"  " + b"yz" * 30]
+    want, lengths = grams_of([scoring.normal(t) for t in texts], 3)
     for size in (1, 7, 64, 10**6):
         monkeypatch.setattr(scoring, "BLOCK_BYTES", size)
         got = [[] for _ in texts]
@@ -151,7 +151,7 @@ def test_tree_in_tables(spark, monkeypatch):
         model = fit(df, F.col("doc_id") % 4 != 1, depth=depth, head=3)
         all_codes, learned = Counter(), Counter()
         for i, text in enumerate(texts):
-            own = grams_of([b" ".join(scoring.tokens(text.encode()))], depth)[0].tolist()
+            own = grams_of([scoring.normal(text.encode())], depth)[0].tolist()
             all_codes.update(own)
             learned.update(own if i % 4 != 1 else [])
         keys = np.array(sorted(all_codes), np.uint64)

@@ -29,9 +29,7 @@ context; the input's other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,9 +45,10 @@ GRAMS_A_WORD = 8
 #: Distinct words and grams a task holds before it hands its counts on.
 FLUSH_WORDS = 600_000
 FLUSH_GRAMS = 3_000_000
-#: Bytes and texts that are counted or scored at once, grams of the tree that are weighed at once, grams in a packed row.
+#: Bytes and texts whose grams and texts whose words are worked on at once, grams of the tree that are weighed at once, grams in a packed row.
 BLOCK_BYTES = 4_000_000
 BLOCK_TEXTS = 256
+WORD_TEXTS = 2_048
 BLOCK_GRAMS = 200_000
 ROW_GRAMS = 2_048
 BUCKETS = 4_096
@@ -59,10 +58,19 @@ END = b"\n"
 START, CLOSE = b" ", b" "
 
 
-def tokens(text: bytes) -> list[bytes]:
-    out = text.lower().split()
-    out.append(END)
-    return out
+def normal(text: bytes) -> bytes:
+    """The text as its coded bytes: lower-cased words, each before a closing byte, then the end."""
+    return CLOSE.join([*text.lower().split(), END])
+
+
+def words_of(column) -> tuple:
+    """All words of an Arrow string column, and the place of each word's text."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words, place = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), place.filter(full).to_numpy()
 
 
 # ---------------------------------------------------------------- the tree
@@ -231,6 +239,15 @@ GRAMS, NODES, LINKS = 0, 1, 2
 PACKED = "bucket int, kind int, keys binary, values binary"
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: most planes hold like bytes, which the shuffle compresses."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def packed(kind: int, bucket: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
     """Batches of packed rows, each of one bucket."""
     import pyarrow as pa
@@ -245,8 +262,8 @@ def packed(kind: int, bucket: np.ndarray, keys: np.ndarray, values: list[np.ndar
             [
                 pa.array([bucket[a] for a, _ in part], pa.int32()),
                 pa.array([kind] * len(part), pa.int32()),
-                pa.array([keys[a:e].tobytes() for a, e in part], pa.binary()),
-                pa.array([values[:, a:e].tobytes() for a, e in part], pa.binary()),
+                pa.array([planes(keys[a:e]) for a, e in part], pa.binary()),
+                pa.array([planes(values[:, a:e].ravel()) for a, e in part], pa.binary()),
             ],
             ["bucket", "kind", "keys", "values"],
         )
@@ -256,8 +273,8 @@ def rows_of(batches):
     """``bucket, kind, keys, values`` of packed rows."""
     for batch in batches:
         for bucket, kind, keys, values in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "keys", "values"))):
-            keys = np.frombuffer(keys, np.uint64)
-            yield bucket, kind, keys, np.frombuffer(values, np.int64 if kind == GRAMS else np.float64).reshape(-1, len(keys))
+            keys = from_planes(keys, np.uint64)
+            yield bucket, kind, keys, from_planes(values, np.int64 if kind == GRAMS else np.float64).reshape(-1, len(keys))
 
 
 def whole_buckets(batches):
@@ -287,39 +304,41 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        from .packing import text_bytes
-
-        held = [Counter(), Counter()]  # texts that are not learned from, and those that are
-
-        def flush():
-            keys = list(set().union(*held))
-            other, c = (np.fromiter(map(h.get, keys, repeat(0)), np.int64, len(keys)) for h in held)
-            for at in range(0, len(keys), 50_000):
-                cut = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.binary()), pa.array((other + c)[cut]), pa.array(c[cut])], names)
-            for h in held:
-                h.clear()
+        def summed(tables):
+            return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum"), ("c", "sum")]).rename_columns(names)
 
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for text, k in zip(text_bytes(part.column(0)), part.column(1).to_pylist()):
-                    held[k].update(tokens(text))
-                if sum(map(len, held)) > FLUSH_WORDS:
-                    yield from flush()
-        if any(held):
-            yield from flush()
+            for at in range(0, batch.num_rows, WORD_TEXTS):
+                part = batch.slice(at, WORD_TEXTS)
+                marks = part.column(1).to_numpy()
+                words, place = words_of(part.column(0))
+                for mark in (0, 1):
+                    found = pc.value_counts(words.filter(pa.array(marks[place] == mark)))
+                    word = pa.concat_arrays([found.field(0).cast(pa.binary()), pa.array([END])])
+                    n = np.append(found.field(1).to_numpy(), (marks == mark).sum())
+                    held.append(pa.table([word, pa.array(n), pa.array(n * mark)], names))
+                    size += len(n)
+                if size > 2 * FLUSH_WORDS:
+                    held = [summed(held)]
+                    size = held[0].num_rows
+                    if size > FLUSH_WORDS:
+                        yield from held[0].to_batches(50_000)
+                        held, size = [], 0
+        if held:
+            yield from summed(held).combine_chunks().to_batches(50_000)
 
     parts = slim.mapInArrow(run, "word binary, n long, c long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where("n > 0")
 
 
-def blocks(texts: list[list[bytes]], depth: int):
+def blocks(texts: list[bytes], depth: int):
     """``(numbers of the texts, parts)`` of at most about ``BLOCK_BYTES``, for ``windows``; a long text is cut into parts that repeat their context."""
     numbers, held, size = [], [], 0
-    for k, words in enumerate(texts):
-        whole = START * depth + CLOSE.join(words)
+    for k, text in enumerate(texts):
+        whole = START * depth + normal(text)
         for at in range(depth, len(whole), BLOCK_BYTES):
             part = whole[at - depth: at + BLOCK_BYTES]
             if held and size + len(part) > BLOCK_BYTES:
@@ -351,7 +370,7 @@ def gram_counts(docs: DataFrame, text_col: str, train: Column, depth: int) -> Da
             for at in range(0, batch.num_rows, BLOCK_TEXTS):
                 part = batch.slice(at, BLOCK_TEXTS)
                 marks = part.column(1).to_numpy().astype(np.uint64)
-                for numbers, held in blocks([tokens(t) for t in text_bytes(part.column(0))], depth):
+                for numbers, held in blocks(text_bytes(part.column(0)), depth):
                     codes, lengths = windows(held, depth)
                     tally.add(*np.unique(codes << np.uint64(1) | np.repeat(marks[numbers], lengths), return_counts=True))
                 if tally.size > FLUSH_GRAMS:
@@ -467,9 +486,9 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", depth: int = DEP
     grams, scored = gram_scores(gram_counts(docs, text_col, train, depth), depth)
 
     head_path = work_path(spark, "lm-head")
-    top = most_frequent(words, head).select("word", "c", "base").toArrow()
-    index = {w: k for k, w in enumerate(top.column("word").to_pylist())}
-    parts = [index, *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base"))]
+    end = words.where(F.col("word") == F.lit(END)).select("c", "base").first() or (0, 0.0)
+    top = most_frequent(words.where(F.col("word") != F.lit(END)), head).select("word", "c", "base").toArrow()
+    parts = [tuple(end), top.column("word").to_pylist(), *(np.append(top.column(x).to_numpy(), 0) for x in ("c", "base"))]
     top = most_frequent(scored, GRAMS_A_WORD * head).select("gram", "s").toArrow()
     codes = top.column("gram").to_numpy().astype(np.uint64)
     order = np.argsort(codes)
@@ -496,8 +515,11 @@ _LOADED: dict[str, tuple] = {}
 def _load(path: str) -> tuple:
     claim("scoring", _LOADED.clear)
     if path not in _LOADED:
+        import pyarrow as pa
+
         _LOADED.clear()
-        _LOADED[path] = pickle.loads(read_file(path))
+        end, words, c, base, grams, scores = pickle.loads(read_file(path))
+        _LOADED[path] = (end, pa.array(words, pa.binary()), (c > 0).astype(np.int64), base, grams, scores)
     return _LOADED[path]
 
 
@@ -512,48 +534,67 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         from .packing import text_bytes
 
-        index, c, base, known_grams, values = _load(head_path)
-        known = (c > 0).astype(np.int64)
-        get, uid = index.get, TaskContext.get().partitionId() << 33
-        last = max(0, len(known_grams) - 1)
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))]
+        (end_c, end_base), head, known, base, known_grams, values = _load(head_path)
+        uid, last = TaskContext.get().partitionId() << 33, max(0, len(known_grams) - 1)
+
+        def lists(places, n, values):
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(places, np.arange(n + 1)).astype(np.int32)), values)
+
+        def by_words(column):
+            n, (words, place) = len(column), words_of(column)
+            words = words.cast(pa.binary())
+            spot = pc.index_in(words, value_set=head)
+            rare, spot = spot.is_null(), pc.fill_null(spot, len(head)).to_numpy()
+            return [
+                np.bincount(place, minlength=n) + 1,
+                np.bincount(place, known[spot], n).astype(np.int64) + int(end_c > 0),
+                np.bincount(place, base[spot], n) + end_base,
+                lists(place[rare.to_numpy(zero_copy_only=False)], n, words.filter(rare)),
+            ]
+
+        def by_grams(texts):
+            sums, lost = np.zeros(len(texts)), []
+            for numbers, held in blocks(texts, depth):
+                codes, lengths = windows(held, depth)
+                pairs, k = np.unique(codes << np.uint64(8) | np.repeat(numbers.astype(np.uint64), lengths), return_counts=True)
+                codes, text = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
+                new = np.append(True, codes[1:] != codes[:-1])
+                distinct = codes[new]
+                spot = np.minimum(np.searchsorted(known_grams, distinct), last)
+                hit = known_grams[spot] == distinct if len(known_grams) else np.zeros(len(distinct), bool)
+                value = np.where(hit, values[spot], 0.0) if len(known_grams) else np.zeros(len(distinct))
+                at = np.cumsum(new) - 1
+                sums += np.bincount(text, k * value[at], len(texts))
+                rest = ~hit[at]
+                lost.append((text[rest], codes[rest], k[rest]))
+            text, codes, k = (np.concatenate(x) for x in zip(*lost))
+            order = np.argsort(text, kind="stable")
+            gram = pa.StructArray.from_arrays([pa.array(codes[order].astype(np.int64)), pa.array(k[order].astype(np.int32))], ["gram", "k"])
+            return sums, lists(text[order], len(texts), gram)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_TEXTS):
-                part = batch.slice(at, BLOCK_TEXTS)
-                texts = text_bytes(part.column(1))
-                rows, split = [], [tokens(text) for text in texts]
-                for text, ws in zip(texts, split):
-                    idx = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
-                    rare = Counter([ws[k] for k in np.flatnonzero(idx < 0)])
-                    rows.append((uid, len(ws), len(text), int(known[idx].sum()), float(base[idx].sum()), [{"word": w, "k": k} for w, k in rare.items()]))
-                    uid += 1
-                sums, lost = np.zeros(len(rows)), []
-                for numbers, held in blocks(split, depth):
-                    codes, lengths = windows(held, depth)
-                    pairs, k = np.unique(codes << np.uint64(8) | np.repeat(numbers.astype(np.uint64), lengths), return_counts=True)
-                    codes, text = pairs >> np.uint64(8), (pairs & np.uint64(255)).astype(np.int64)
-                    spot = np.minimum(np.searchsorted(known_grams, codes), last)
-                    hit = known_grams[spot] == codes if len(known_grams) else np.zeros(len(codes), bool)
-                    sums += np.bincount(text[hit], k[hit] * values[spot[hit]], len(rows))
-                    lost.append((text[~hit], codes[~hit], k[~hit]))
-                text, codes, k = (np.concatenate(x) for x in zip(*lost))
-                order = np.argsort(text, kind="stable")
-                gram = pa.StructArray.from_arrays([pa.array(codes[order].astype(np.int64)), pa.array(k[order].astype(np.int32))], ["gram", "k"])
-                ends = np.searchsorted(text[order], np.arange(len(rows) + 1))
-                cols = list(zip(*rows))
+            for at in range(0, batch.num_rows, WORD_TEXTS):
+                part = batch.slice(at, WORD_TEXTS)
+                counted, texts = by_words(part.column(1)), text_bytes(part.column(1))
+                found = [by_grams(texts[k: k + BLOCK_TEXTS]) for k in range(0, len(texts), BLOCK_TEXTS)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(x, t) for x, t in zip(cols, kinds)), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), gram)],
-                    ["doc_id", "uid", "n_tokens", "n_bytes", "n_known", "base_score", "rare", "score", "rare_grams"],
-                )
-
-    ddl = "uid long, n_tokens long, n_bytes long, n_known long, base_score double, rare array<struct<word: binary, k: int>>, score double, rare_grams array<struct<gram: long, k: int>>"
+                    [
+                        part.column(0), pa.array(np.arange(uid, uid + len(texts))), pa.array(list(map(len, texts)), pa.int64()),
+                        *(pa.array(x) for x in counted[:3]), counted[3], pa.array(np.concatenate([x for x, _ in found])), pa.concat_arrays([x for _, x in found]),
+                    ],
+                    ["doc_id", "uid", "n_bytes", "n_tokens", "n_known", "base_score", "rare", "score", "rare_grams"],
+                )
+                uid += len(texts)
+
+    ddl = "uid long, n_bytes long, n_tokens long, n_known long, base_score double, rare array<binary>, score double, rare_grams array<struct<gram: long, k: int>>"
     first = materialise(slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL(ddl)])), "lm-head-scores")
-    words = first.select("uid", F.inline("rare")).join(model.words.select("word", "c", "base"), "word", "left").groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.coalesce("base", F.lit(model.unseen))).alias("b")
+    words = first.select("uid", F.explode("rare").alias("word")).join(model.words.select("word", "c", "base"), "word", "left").groupBy("uid").agg(
+        F.count_if(F.col("c") > 0).alias("known"), F.sum(F.coalesce("base", F.lit(model.unseen))).alias("b")
     )
     lost = first.select("uid", F.inline("rare_grams"))
     scored = model.grams.select("gram", "s")
