@@ -43,12 +43,12 @@ DEPTH = 6
 HEAD = 262_144
 GRAMS_A_WORD = 8
 #: Distinct words and grams a task holds before it hands its counts on.
-FLUSH_WORDS = 600_000
-FLUSH_GRAMS = 3_000_000
+FLUSH_WORDS = 300_000
+FLUSH_GRAMS = 1_500_000
 #: Bytes and texts whose grams and texts whose words are worked on at once, grams of the tree that are weighed at once, grams in a packed row.
 BLOCK_BYTES = 4_000_000
 BLOCK_TEXTS = 256
-WORD_TEXTS = 2_048
+WORD_TEXTS = 1_024
 BLOCK_GRAMS = 200_000
 ROW_GRAMS = 2_048
 BUCKETS = 4_096
@@ -324,11 +324,14 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
                 if size > 2 * FLUSH_WORDS:
                     held = [summed(held)]
                     size = held[0].num_rows
+                    pa.default_memory_pool().release_unused()
                     if size > FLUSH_WORDS:
                         yield from held[0].to_batches(50_000)
                         held, size = [], 0
         if held:
             yield from summed(held).combine_chunks().to_batches(50_000)
+        del held
+        pa.default_memory_pool().release_unused()
 
     parts = slim.mapInArrow(run, "word binary, n long, c long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where("n > 0")
