@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilmatch.operators.evaluate import auprc, auroc, calibrate, confusion, latency_summary, mcc, numbered, percentile, pick_at, pick_best, positive_pairs, sample_negatives, sample_pairs, sample_positives, score_pairs, sweep, throughput
+from veilmatch.operators.evaluate import auprc, auroc, calibrate, confusion, group_by, latency_summary, mcc, numbered, percentile, pick_at, pick_best, positive_pairs, sample_negatives, sample_pairs, sample_positives, score_pairs, sweep, throughput
 from veilmatch.operators.tokenize import comparable
 from veilmatch.plans.schema import DATE, DEFAULT, NAME, FieldSet, FieldSpec, path
 from veilmatch.plans.session import Session, calibrate_on, run, scored
@@ -174,3 +174,34 @@ def test_pairs_without_tokens_fail(spark):
     pairs = spark.createDataFrame([(0, 77, True)], "a long, b long, match boolean")
     with pytest.raises(Exception, match="names no record"):
         score_pairs(pairs, t, FS).collect()
+
+
+def test_positives_of_a_large_group_come_from_its_size(spark):
+    """20,000 records of one group make 200 million pairs; only those asked for are made."""
+    df = spark.range(20_000).select("id", F.lit("all").alias("canonical_id")).unionByName(spark.range(20_000, 20_006).select("id", F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("canonical_id")))
+    got = [(r["a"], r["b"]) for r in sample_positives(df, 500, 3).collect()]
+    assert len(set(got)) == 500 and all(a < b < 20_000 or (b - a == 3 and a >= 20_000) for a, b in got)
+    assert len({a for a, _ in got}) > 400
+
+
+@pytest.mark.parametrize("want", [1, 7, 20, 40])
+def test_every_number_is_a_pair(spark, want):
+    df = grouped(spark, (4, 1, 5, 3, 8))
+    every = {(r["a"], r["b"]) for r in positive_pairs(df).collect()}
+    got = [(r["a"], r["b"]) for r in sample_positives(df, want, 2).collect()]
+    assert len(got) == len(set(got)) == want and set(got) <= every
+
+
+def test_groups(spark):
+    got = {r["canonical_id"]: (r["ids"], r["n"]) for r in group_by(grouped(spark, (2, 1)).orderBy(F.desc("id"))).collect()}
+    assert got == {"g0": ([0, 1], 2), "g1": ([2], 1)}
+
+
+def test_pairs_are_mixed(spark):
+    labels = [r["match"] for r in sample_pairs(grouped(spark, (6, 6, 6)), 40, 40, 1).collect()]
+    assert 5 < sum(labels[:40]) < 35
+
+
+def test_calibrate_needs_pairs(spark):
+    with pytest.raises(ValueError, match="no pairs"):
+        calibrate(frame(spark, [(0.1, True)]).limit(0))

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from veilmatch.plans.schema import DEFAULT, FAST, HARDENED, HIGH_PRECISION, NAME, BloomConfig, FieldPath, FieldSet, FieldSpec, default_field_set, path
@@ -23,9 +25,12 @@ def test_public_names():
 
 
 def test_fingerprints():
-    assert default_field_set().fingerprint() == "5812c0874ec29a56ffb7d144ced4af061e814201ee6904971dfe25920abc2bce"
-    golden = FieldSet("v1", (FieldSpec(GIVEN, True, 1.0),), BloomConfig(1024, 2, (2,))).fingerprint()
-    assert golden.startswith("d99c25e7") and golden.endswith("6262")
+    assert default_field_set().fingerprint() == "865cfb4997e71d285775a4e138309c379774adf68e887dfd3d8d31a195526aca"
+    # the encoding written out: lengths before texts, numbers big-endian, a weight as its IEEE bits
+    text = bytes.fromhex("00000002") + b"v1" + bytes.fromhex("00000001" "0000000d") + b"shop::id::tag" + bytes.fromhex("01" "3ff0000000000000" "00000400" "00000002" "00000001" "00000002")
+    golden = FieldSet("v1", (FieldSpec(FieldPath.parse("shop::id::tag"), True, 1.0),), BloomConfig(1024, 2, (2,))).fingerprint()
+    assert golden == hashlib.sha256(text).hexdigest()
+    assert default_field_set("shop").fingerprint() != default_field_set().fingerprint() and default_field_set("shop").fields[0].path.org == "shop"
 
 
 def test_fingerprint_sensitivity():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilmatch.functions import corrupt
 from veilmatch.plans.schema import NAME, FieldSet, FieldSpec, path
 from veilmatch.plans.session import Session
-from veilmatch.sources.corpus import RECORD, febrl_canonical_id, febrl_corpus, in_hash_sample, iso_date, read_corpus, read_voters, result_metrics, voter_records, write_corpus, write_report
+from veilmatch.sources.corpus import RECORD, Reports, febrl_canonical_id, febrl_corpus, in_hash_sample, iso_date, read_corpus, read_voters, result_metrics, voter_records, write_corpus, write_report
 from veilmatch.streaming.link import link_stream_equal, link_stream_similar
 
 
@@ -56,13 +56,21 @@ def test_voters(spark, tmp_path):
     assert spark.range(1).select(in_hash_sample(F.lit("x"), 1).alias("s")).first()["s"]
 
 
-def test_report(tmp_path):
+def test_report(spark, tmp_path):
     best = {"f1": 0.5, "precision": 0.4, "recall": 0.6}
     r = {"auroc": 0.9, "auprc": 0.8, "best_f1": best, "best_accuracy": {"accuracy": 0.7}, "best_mcc": {"mcc": 0.3}, "tokenize": {"p50": 1, "p99": 2, "throughput": 3}, "match": {"p99": 4, "throughput": 5}}
     m = result_metrics(r)
     assert len(m) == 12 and m["f1"] == {"value": 0.5}
-    write_report({"bench": m}, f"{tmp_path}/r.json")
+    write_report(spark, {"bench": m}, f"{tmp_path}/r.json")
     assert json.load(open(f"{tmp_path}/r.json"))["bench"]["mcc"]["value"] == 0.3
+    kept = Reports(spark, f"{tmp_path}/more/all.json")
+    kept.add("one", r)
+    kept.add("two", r)
+    kept.close()
+    assert sorted(json.load(open(f"{tmp_path}/more/all.json"))) == ["one", "two"]
+    nowhere = Reports(spark)
+    nowhere.add("one", r)
+    nowhere.close()
 
 
 def edits(a, b):
@@ -75,7 +83,7 @@ def edits(a, b):
 
 
 def test_corruption(spark):
-    values = ["Christopher", "ann", "ab", "", "KNIGHT", "zoo", "phil", "1234", "m"]
+    values = ["Christopher", "ann", "ab", "", "QUILL", "zoo", "vane", "1234", "w"]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values * 8)], "k long, v string")
     k, v = F.col("k"), F.col("v")
     cols = [corrupt.typo(v, k).alias("t"), corrupt.drop_char(v, k).alias("d"), corrupt.phonetic(v, k).alias("p"), corrupt.ocr(v, k).alias("o"), corrupt.missing(v, k).alias("m")]
@@ -85,7 +93,7 @@ def test_corruption(spark):
         assert len(r["t"]) == len(r["v"]) and edits(r["v"], r["t"]) <= 1 and r["m"] is None
         assert r["d"] == r["v"] if len(r["v"]) < 3 else len(r["d"]) == len(r["v"]) - 1
         assert edits(r["v"], r["p"]) <= 2 and edits(r["v"], r["o"]) <= 2
-    assert {r["p"] for r in rows if r["v"] == "phil"} == {"fil"} and {r["o"] for r in rows if r["v"] == "m"} == {"rn"}
+    assert {r["p"] for r in rows if r["v"] == "vane"} == {"fane"} and {r["o"] for r in rows if r["v"] == "w"} == {"vv"}
     assert len({r["t"] for r in rows if r["v"] == "Christopher"}) > 3
 
 

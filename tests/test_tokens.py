@@ -18,15 +18,24 @@ def bits(raw):
     return {8 * i + k for i, b in enumerate(raw) for k in range(8) if b >> k & 1}
 
 
-def test_field_vector():
-    assert field_hmac(b"secret", "alice", GIVEN).hex() == "f85b8faa88f277e7e6ab561d5369a8c607f38ad86c89074837451a93935f4c8a"
-
-
-def test_bloom_vectors():
-    plain = BloomEncoder(b"secret", GIVEN, BloomConfig(1024, 2)).encode("alice")
-    assert len(bits(plain)) == 14 and hashlib.sha256(plain).hexdigest().startswith("64f0704d679940a6")
-    hard = BloomEncoder(b"secret", GIVEN, HARDENED).encode("alice")
-    assert len(bits(hard)) == 400 and hashlib.sha256(hard).hexdigest().startswith("dfdad58dfc0bba94")
+def test_field_by_hand():
+    m = struct.pack(">I", 5) + b"odile" + struct.pack(">I", len(GIVEN)) + GIVEN.encode()
+    assert field_hmac(b"a key", "odile", GIVEN) == hmac.digest(b"a key", m, "sha256")
+
+
+def test_hardened_bits_by_hand():
+    """The keyed streams written out: label, framed path, framed value, counter; four numbers to a block."""
+    def stream(label):
+        head = label + struct.pack(">I", len(GIVEN)) + GIVEN.encode() + struct.pack(">I", 5) + b"odile"
+        for counter in range(10**6):
+            yield from struct.unpack(">4Q", hmac.digest(b"a key", head + struct.pack(">I", counter), "sha256"))
+
+    want = bits(BloomEncoder(b"a key", GIVEN, DEFAULT).encode("odile"))
+    want ^= {k for k, n in zip(range(2048), stream(b"blip:")) if n >> 11 < int(HARDENED.flip_probability * 2**53)}
+    numbers = stream(b"balance:")
+    while len(want) < HARDENED.target_popcount:
+        want.add(next(numbers) % 2048)
+    assert bits(BloomEncoder(b"a key", GIVEN, HARDENED).encode("odile")) == want
 
 
 def test_bits_by_hand():

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.choice import digits, pick
 from ..plans.schema import FieldSet
 
 STEPS = 100
@@ -74,7 +75,9 @@ def pick_at(points: DataFrame, floor_of: str, floor: float, by: str) -> DataFram
 
 
 def calibrate(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """``threshold, precision, recall, f1`` of the best F1 (ties: lowest threshold)."""
+    """``threshold, precision, recall, f1`` of the best F1 (ties: lowest threshold); an empty table raises ValueError."""
+    if df.isEmpty():
+        raise ValueError("no pairs to calibrate on")
     return pick_best(sweep(df, score, label), "f1").select("threshold", "precision", "recall", "f1")
 
 
@@ -139,9 +142,9 @@ def positive_pairs(df: DataFrame, group: str = "canonical_id", id_col: str = "id
     return a.join(b, "g").where("a < b").select("a", "b")
 
 
-def sample_positives(df: DataFrame, want: int, seed: int, group: str = "canonical_id", id_col: str = "id") -> DataFrame:
-    """All positive pairs, or ``want`` of them chosen by a hash of the seed and the ids."""
-    return positive_pairs(df, group, id_col).orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").limit(want)
+def group_by(df: DataFrame, group: str = "canonical_id", id_col: str = "id") -> DataFrame:
+    """``group, ids, n``: each group's ids in ascending order. A group is one row here; ``numbered`` holds for groups of any size."""
+    return df.groupBy(group).agg(F.array_sort(F.collect_list(id_col)).alias("ids"), F.count("*").alias("n"))
 
 
 def numbered(df: DataFrame, within: list[str], by: str) -> DataFrame:
@@ -150,7 +153,7 @@ def numbered(df: DataFrame, within: list[str], by: str) -> DataFrame:
     Rows are numbered in buckets by a hash, after the counts of the buckets
     before, so that no group meets in one task.
     """
-    rows = df.withColumn("__b", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int"))
+    rows = df.withColumn("__b", pick(F.col(by), "number", BUCKETS).cast("int"))
     before = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*within, "__b").agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy(*within, "__b").orderBy(by)
@@ -158,10 +161,61 @@ def numbered(df: DataFrame, within: list[str], by: str) -> DataFrame:
     return out.withColumn("k", (F.col("__k") + F.col("__o")).cast("long")).drop("__b", "__k", "__o")
 
 
-def sample_negatives(df: DataFrame, want: int, seed: int, group: str = "canonical_id", id_col: str = "id", tries: int = 8) -> DataFrame:
+def _first_draws(make, want: int, most: int) -> DataFrame | None:
+    """The first ``want`` distinct rows (by ``id``, the draw that gives them) of ``make(draws)``; None if ``most`` draws hold fewer."""
+    tries = min(most, 2 * want + 1000)
+    while True:
+        out = make(tries).orderBy("id").limit(want)
+        if out.count() >= want:
+            return out
+        if tries >= most:
+            return None
+        tries = min(most, 8 * tries)
+
+
+def sample_positives(df: DataFrame, want: int, seed: int, group: str = "canonical_id", id_col: str = "id") -> DataFrame:
+    """All positive pairs, or ``want`` of them chosen by a hash of the seed.
+
+    Pairs are numbered from the groups' sizes and only chosen numbers become
+    pairs, so that a group of n records never gives its n * n / 2 pairs.
+    """
+    spark = df.sparkSession
+    records = numbered(df.select(F.col(group).alias("g"), F.col(id_col).alias("r")).where("g IS NOT NULL"), ["g"], "r")
+    sizes = records.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    sizes = sizes.withColumn("b", pick(F.col("g"), "number", BUCKETS).cast("int"))
+    found = sorted((r["b"], r["p"]) for r in sizes.groupBy("b").agg(F.sum("pairs").alias("p")).collect())
+    total, bounds = 0, []
+    for b, p in found:
+        bounds.append((b, total, total + p))
+        total += p
+    if total <= want:
+        return positive_pairs(df, group, id_col)
+    if total <= 4 * want:
+        chosen = spark.range(total).withColumnRenamed("id", "number").orderBy(digits(F.col("number"), f"{seed} pair"), "number").limit(want)
+    else:
+        chosen = _first_draws(lambda tries: spark.range(tries).groupBy(pick(F.col("id"), f"{seed} pair", total).alias("number")).agg(F.min("id").alias("id")), want, 100 * want + 1000)
+        if chosen is None:
+            raise ValueError(f"fewer than {want} distinct positive pairs found")
+    place = spark.createDataFrame(bounds, "b int, lo long, hi long")
+    chosen = chosen.select("number").join(F.broadcast(place), (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi")))
+    before = Window.partitionBy("b").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("b", "g", F.coalesce(F.sum("pairs").over(before), F.lit(0)).alias("start"))
+    wanted = chosen.select("b", (F.col("number") - F.col("lo")).alias("at"))
+    both = starts.select("b", F.col("start").alias("at"), "g", "start").unionByName(wanted, allowMissingColumns=True)
+    up_to = Window.partitionBy("b").orderBy("at", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.select("start", F.last("g", True).over(up_to).alias("g"), (F.col("at") - F.last("start", True).over(up_to)).alias("p")).where("start IS NULL")
+    guess = F.floor((F.sqrt(8 * F.col("p") + 1) + 1) / 2).cast("long")
+    high = F.when(guess * (guess - 1) / 2 > F.col("p"), guess - 1).when(guess * (guess + 1) / 2 <= F.col("p"), guess + 1).otherwise(guess)
+    pairs = placed.select("g", "p", high.alias("j")).select("g", "j", (F.col("p") - (F.col("j") * (F.col("j") - 1) / 2).cast("long")).alias("i"))
+    out = pairs.join(records.select("g", F.col("k").alias("i"), F.col("r").alias("x")), ["g", "i"]).join(records.select("g", F.col("k").alias("j"), F.col("r").alias("y")), ["g", "j"])
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def sample_negatives(df: DataFrame, want: int, seed: int, group: str = "canonical_id", id_col: str = "id") -> DataFrame:
     """``want`` pairs of different groups, uniform over groups first, then over a group's records.
 
-    Raises ValueError when fewer are found in ``tries`` draws for each wanted pair.
+    The first distinct pairs of up to ``100 * want + 1000`` draws, in rounds
+    that grow; raises ValueError when they hold fewer.
     """
     spark = df.sparkSession
     records = df.select(F.col(group).alias("g"), F.col(id_col).alias("r"))
@@ -172,34 +226,59 @@ def sample_negatives(df: DataFrame, want: int, seed: int, group: str = "canonica
     if n < 2:
         raise ValueError("need at least two groups for negative pairs")
 
-    def draw(salt: str, over: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), over.cast("long"))
+    def make(tries):
+        draws = spark.range(tries).select("id", *(pick(F.col("id"), f"{seed} {side} group", n).alias(f"{side}_place") for side in ("left", "right"))).where("left_place <> right_place")
+        for side, name in (("left", "x"), ("right", "y")):
+            chosen = draws.join(groups.select(F.col("place").alias(f"{side}_place"), "g", "n"), f"{side}_place").withColumn("k", pick(F.col("id"), f"{seed} {side} record", F.col("n")))
+            draws = chosen.join(records, ["g", "k"]).drop("g", "k", "n", f"{side}_place").withColumnRenamed("r", name)
+        return draws.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "id").groupBy("a", "b").agg(F.min("id").alias("id"))
 
-    draws = spark.range(want * tries).select("id", *(draw(f"{side} group", F.lit(n)).alias(f"{side}_place") for side in ("left", "right"))).where("left_place <> right_place")
-    for side, name in (("left", "x"), ("right", "y")):
-        chosen = draws.join(groups.select(F.col("place").alias(f"{side}_place"), "g", "n"), f"{side}_place").withColumn("k", draw(f"{side} record", F.col("n")))
-        draws = chosen.join(records, ["g", "k"]).drop("g", "k", "n", f"{side}_place").withColumnRenamed("r", name)
-    pairs = draws.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "id").groupBy("a", "b").agg(F.min("id").alias("id"))
-    out = pairs.orderBy("id").limit(want).select("a", "b")
-    if out.count() < want:
+    out = _first_draws(make, want, 100 * want + 1000) if want else spark.range(0).select(F.lit(None).cast(df.schema[id_col].dataType).alias("a"), F.lit(None).cast(df.schema[id_col].dataType).alias("b"))
+    if out is None:
         raise ValueError(f"fewer than {want} distinct negative pairs found")
-    return out
+    return out.select("a", "b")
 
 
 def sample_pairs(df: DataFrame, positives: int, negatives: int, seed: int, group: str = "canonical_id", id_col: str = "id") -> DataFrame:
-    """``a, b, match``; the same rows for the same seed."""
+    """``a, b, match`` in mixed order; the same rows for the same seed."""
     if positives < 0 or negatives < 0 or positives + negatives == 0:
         raise ValueError("ask for at least one pair")
     pos = sample_positives(df, positives, seed, group, id_col).withColumn("match", F.lit(True))
     if positives and pos.isEmpty():
         raise ValueError("no group has two records")
-    if not negatives:
-        return pos
-    return pos.unionByName(sample_negatives(df, negatives, seed, group, id_col).withColumn("match", F.lit(False)))
+    out = pos if positives else pos.limit(0)
+    if negatives:
+        out = out.unionByName(sample_negatives(df, negatives, seed, group, id_col).withColumn("match", F.lit(False)))
+    return out.orderBy(digits(F.concat_ws(":", "a", "b"), f"{seed} order"), "a", "b")
+
+
+def _timed_scores(a: Column, b: Column) -> Column:
+    """``struct<scores, ns>``: the Dice scores of two tokens' fields, and the nanoseconds that each pair took."""
+
+    @F.arrow_udf("struct<scores: array<double>, ns: bigint>")
+    def compare(left, right):
+        import time
+
+        import numpy as np
+        import pyarrow as pa
+
+        scores, ns = [], []
+        for x, y in zip(left.to_pylist(), right.to_pylist()):
+            x, y = ([np.array(f, np.int64).view(np.uint64) for f in t] for t in (x, y))
+            began = time.perf_counter_ns()
+            each = []
+            for f, g in zip(x, y):
+                total = int(np.bitwise_count(f).sum()) + int(np.bitwise_count(g).sum())
+                each.append(2.0 * int(np.bitwise_count(f & g).sum()) / total if total else 0.0)
+            ns.append(time.perf_counter_ns() - began)
+            scores.append(each)
+        return pa.StructArray.from_arrays([pa.array(scores, pa.list_(pa.float64())), pa.array(ns, pa.int64())], ["scores", "ns"])
+
+    return compare(a, b)
 
 
-def score_pairs(pairs: DataFrame, tokens: DataFrame, fs: FieldSet, threshold: float = 0.5) -> DataFrame:
-    """``a, b, label, score, result`` of labelled pairs; a pair without its tokens raises an error."""
+def score_pairs(pairs: DataFrame, tokens: DataFrame, fs: FieldSet, threshold: float = 0.5, timed: bool = False) -> DataFrame:
+    """``a, b, label, score, result`` of labelled pairs (if ``timed``, with ``ns`` too); a pair without its tokens raises an error."""
     from ..functions.similarity import match, per_field
 
     t = tokens.select("id", "words", "pops")
@@ -207,6 +286,12 @@ def score_pairs(pairs: DataFrame, tokens: DataFrame, fs: FieldSet, threshold: fl
     right = t.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("pops").alias("pb"))
     rows = pairs.join(left, "a", "left").join(right, "b", "left")
     found = F.when(F.col("wa").isNull() | F.col("wb").isNull(), F.raise_error(F.lit("a pair names no record")).cast("boolean")).otherwise(F.lit(True))
-    scores = per_field(F.col("wa"), F.col("wb"), F.col("pa"), F.col("pb"), len(fs.fields))
-    out = rows.where(found).select("a", "b", F.col("match").alias("label"), match(scores, F.col("pa"), F.col("pb"), fs, threshold).alias("result"))
+    rows = rows.where(found)
+    if timed:
+        rows = rows.withColumn("__t", _timed_scores(F.col("wa"), F.col("wb")))
+        scores = [F.col("__t.scores")[k] for k in range(len(fs.fields))]
+    else:
+        scores = per_field(F.col("wa"), F.col("wb"), F.col("pa"), F.col("pb"), len(fs.fields))
+    result = match(scores, F.col("pa"), F.col("pb"), fs, threshold).alias("result")
+    out = rows.select("a", "b", F.col("match").alias("label"), result, *([F.col("__t.ns").alias("ns")] if timed else []))
     return out.withColumn("score", F.col("result.score"))

@@ -15,6 +15,7 @@ holds for streams too, and serves as the check of the other.
 from __future__ import annotations
 
 import json
+from typing import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from ..functions.similarity import incompatible, match, per_field
 from ..plans.schema import FieldSet
 
 
-#: Records of a block that meet in one cell, a side.
+#: Records of a block that meet in one cell, a side, and words that are compared at once there; a cell's pairs leave in batches.
 CELL_ROWS = 4096
+STEP_WORDS = 2_000_000
 
 
 def _equality_key(token: Column) -> Column:
@@ -43,10 +45,11 @@ def equal(a: Column, b: Column) -> Column:
     )
 
 
-def link_equal(left: DataFrame, right: DataFrame, how: str = "inner", token: str = "token", skip_empty: bool = False) -> DataFrame:
+def link_equal(left: DataFrame, right: DataFrame, how: str = "inner", token: str = "token", skip_empty: bool = True) -> DataFrame:
     """Join on equal tokens; the right side's columns (but for semi and anti joins) get the suffix ``_r``.
 
-    With ``skip_empty`` tokens without any field present link with nothing.
+    Tokens without any field present are all equal, a hot key of all pairs: they
+    link with nothing unless ``skip_empty=False`` asks for them.
     """
     other = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
     on = equal(left[token], other[f"{token}_r"])
@@ -116,21 +119,24 @@ def _link_by_grid(left: DataFrame, right: DataFrame, fs: FieldSet, threshold: fl
     a, b = side(left), side(right)
     sizes_a, sizes_b = (x.groupBy("block").agg(F.count("*").alias(n)) for x, n in ((a, "na"), (b, "nb")))
     sizes = sizes_a.join(sizes_b, "block").select("block", cells(F.col("na")).alias("ca"), cells(F.col("nb")).alias("cb"))
+    rest = ["block", "fields", "meta"]
     own = F.pmod(F.xxhash64("id"), F.col("ca")).cast("int")
-    a = a.join(sizes, "block").select("id", "block", "fields", "meta", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("j"))
+    a = a.join(sizes, "block").select("id", F.lit(None).cast(right.schema["id"].dataType).alias("id_r"), *rest, own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("j"), F.lit(True).alias("left"))
     own = F.pmod(F.xxhash64("id"), F.col("cb")).cast("int")
-    b = b.join(sizes, "block").select("id", "block", "fields", "meta", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("i"), own.alias("j"))
+    b = b.join(sizes, "block").select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), F.col("id").alias("id_r"), *rest, F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("i"), own.alias("j"), F.lit(False).alias("left"))
 
-    weights, paths, n = [f.weight for f in fs.fields], fs.paths(), len(fs.fields)
-    result = T.StructType.fromDDL("score double, per_field array<double>, paths array<string>, is_match boolean, comparable_fields int")
-    schema = T.StructType([T.StructField("id", left.schema["id"].dataType), T.StructField("id_r", right.schema["id"].dataType), T.StructField("result", result)])
+    weights, n = [f.weight for f in fs.fields], len(fs.fields)
+    schema = T.StructType([T.StructField("id", left.schema["id"].dataType), T.StructField("id_r", right.schema["id"].dataType), *T.StructType.fromDDL("score double, per_field array<double>, is_match boolean, comparable_fields int")])
 
-    def compare(key, x, y):
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
+        held = pa.Table.from_batches(list(batches))
+        x, y = (held.filter(m).combine_chunks() for m in (held.column("left"), pc.invert(held.column("left"))))
         if not len(x) or not len(y):
             return
         metas = [{m: json.loads(m) for m in set(t.column("meta").to_pylist())} for t in (x, y)]
@@ -145,7 +151,8 @@ def _link_by_grid(left: DataFrame, right: DataFrame, fs: FieldSet, threshold: fl
             return out, [np.bitwise_count(f).sum(1, dtype=np.int64) for f in out]
 
         (fx, px), (fy, py) = fields(x), fields(y)
-        step = max(1, 2_000_000 // (len(y) * max(f.shape[1] for f in fx) or 1)) if n else len(x)
+        own, other = x.column("id").combine_chunks(), y.column("id_r").combine_chunks()
+        step = max(1, STEP_WORDS // (len(y) * max(f.shape[1] for f in fx) or 1)) if n else max(1, STEP_WORDS // len(y))
         for at in range(0, len(x), step):
             rows = slice(at, min(at + step, len(x)))
             top = np.zeros((rows.stop - at, len(y)))
@@ -167,18 +174,15 @@ def _link_by_grid(left: DataFrame, right: DataFrame, fs: FieldSet, threshold: fl
                 continue
             per = np.stack([d[i, j] for d in each], 1) if each else np.zeros((len(i), 0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * n), pa.array(per.ravel()))
-            names = pa.array([paths]).take(pa.array(np.zeros(len(i), np.int64)))
-            whole = pa.StructArray.from_arrays([pa.array(value[i, j]), lists, names, pa.array(hit[i, j]), pa.array(used[i, j])], fields=list(kinds.field("result").type))
-            yield pa.RecordBatch.from_arrays([x.column("id").combine_chunks().take(pa.array(i + at)), y.column("id").combine_chunks().take(pa.array(j)), whole], schema=kinds)
+            columns = [own.take(pa.array(i + at)), other.take(pa.array(j)), pa.array(value[i, j]), lists.cast(kinds.field("per_field").type), pa.array(hit[i, j]), pa.array(used[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    def tables(key, x, y):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        return pa.Table.from_batches(list(compare(key, x, y)), schema=to_arrow_schema(schema))
+    import pyarrow as pa
 
-    grid = ["block", "i", "j"]
-    return a.groupBy(*grid).cogroup(b.groupBy(*grid)).applyInArrow(tables, schema)
+    compare.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    found = a.unionByName(b).groupBy("block", "i", "j").applyInArrow(compare, schema)
+    paths = F.array(*map(F.lit, fs.paths())) if n else F.array().cast("array<string>")
+    return found.select("id", "id_r", F.struct("score", "per_field", paths.alias("paths"), "is_match", "comparable_fields").alias("result"))
 
 
 def best_match(pairs: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize
-from ..functions.similarity import popcount
-from ..functions.tokens import Secret, bloom_fields, hmac_fields, params_column, token_meta, words_of
+from ..functions.tokens import Secret, bloom_fields, hmac_fields, params_column, timed_bloom_fields, token_meta, unpacked
 from ..plans.schema import FieldPath, FieldSet
 
 POLICIES = ("fail", "nullify", "sanitize", "report")
@@ -68,9 +67,13 @@ class Tokenizer:
         out = out.withColumn("token", F.struct(*token_meta(fs, self.key_id), F.col("__f").alias("fields")))
         return out.drop("__f", "values", *([] if keep_errors else ["errors"]))
 
-    def probabilistic(self, df: DataFrame, fs: FieldSet, columns=None, record="record", policy="fail", keep_errors=False) -> DataFrame:
-        """``df`` with ``token``: as above with ``params`` and one Bloom filter for each field."""
-        out = normalized(df, fs, columns, record, policy).withColumn("__f", bloom_fields(F.col("values"), fs.paths(), fs.bloom, self.secret))
+    def probabilistic(self, df: DataFrame, fs: FieldSet, columns=None, record="record", policy="fail", keep_errors=False, timed=False) -> DataFrame:
+        """``df`` with ``token``: as above with ``params`` and one Bloom filter for each field; if ``timed``, with ``ns`` too."""
+        out = normalized(df, fs, columns, record, policy)
+        if timed:
+            out = out.withColumn("__t", timed_bloom_fields(F.col("values"), fs.paths(), fs.bloom, self.secret)).withColumn("ns", F.col("__t.ns")).withColumn("__f", F.col("__t.fields")).drop("__t")
+        else:
+            out = out.withColumn("__f", bloom_fields(F.col("values"), fs.paths(), fs.bloom, self.secret))
         out = out.withColumn("token", F.struct(*token_meta(fs, self.key_id), F.col("__f").alias("fields"), params_column(fs.bloom).alias("params")))
         return out.drop("__f", "values", *([] if keep_errors else ["errors"]))
 
@@ -81,8 +84,8 @@ class Tokenizer:
 
 def comparable(df: DataFrame, token: str = "token") -> DataFrame:
     """``df`` with ``words`` and ``pops`` of its Bloom token, the form that pairs are scored in."""
-    out = df.withColumn("words", F.transform(F.col(token)["fields"], words_of))
-    return out.withColumn("pops", F.transform("words", popcount))
+    out = df.withColumn("__u", unpacked(F.col(token)["fields"]))
+    return out.withColumn("words", F.col("__u.words")).withColumn("pops", F.col("__u.pops")).drop("__u")
 
 
 def annotate(token: Column, fs: FieldSet, bloom: bool = False) -> Column:

@@ -7,9 +7,10 @@ import math
 import struct
 from dataclasses import dataclass, replace
 
-# The organisation and namespaces of built-in paths. A path is
-# part of every token's hash, so these must not change.
-ORG = "sriracha"
+#: The organisation of built-in paths. A path is part of every token's hash: parties that link must use the same one,
+#: and whoever has tokens of paths under another name passes that name to ``path`` and ``default_field_set``.
+ORG = "veilmatch"
+# The namespaces of built-in paths.
 NAME, IDENTIFIER, DATE, ADDRESS, CONTACT = "name", "identifier", "date", "address", "contact"
 
 
@@ -159,5 +160,5 @@ DEFAULT_FIELDS = (
 )
 
 
-def default_field_set() -> FieldSet:
-    return FieldSet(DEFAULT_VERSION, tuple(FieldSpec(path(ns, n), False, w) for ns, n, w in DEFAULT_FIELDS), DEFAULT)
+def default_field_set(org: str = ORG) -> FieldSet:
+    return FieldSet(DEFAULT_VERSION, tuple(FieldSpec(path(ns, n, org), False, w) for ns, n, w in DEFAULT_FIELDS), DEFAULT)

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.evaluate import auprc, auroc, calibrate, confusion, pick_at, pick_best, sample_pairs, score_pairs, sweep, throughput
+from ..operators.evaluate import auprc, auroc, calibrate, confusion, latency_summary, pick_at, pick_best, sample_pairs, score_pairs, sweep, throughput
 from ..operators.link import equal, link_equal, link_similar
 from ..operators.tokenize import Tokenizer, annotate, comparable
 from ..operators.validate import record_errors
@@ -55,11 +55,19 @@ class Session:
         return annotate(token, self.field_set, bloom)
 
 
+def _tokenized(session: Session, records: DataFrame, timed: bool = False) -> DataFrame:
+    done = session.probabilistic(records.select("id", "record"), policy="sanitize", keep_errors=True, timed=timed)
+    return comparable(done).select("id", "token", "words", "pops", "errors", *(["ns"] if timed else []))
+
+
+def _drops(done: DataFrame) -> DataFrame:
+    return done.select(F.explode("errors").alias("e")).groupBy(F.col("e.path").alias("path")).agg(F.count("*").alias("drops"))
+
+
 def tokenize_all(session: Session, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Comparable tokens of sanitised records (``id``, ``record``), and counts of dropped fields."""
-    done = session.probabilistic(records.select("id", "record"), policy="sanitize", keep_errors=True)
-    drops = done.select(F.explode("errors").alias("e")).groupBy(F.col("e.path").alias("path")).agg(F.count("*").alias("drops"))
-    return comparable(done).select("id", "token", "words", "pops"), drops
+    done = _tokenized(session, records)
+    return done.select("id", "token", "words", "pops"), _drops(done)
 
 
 def scored(session: Session, records: DataFrame, positives: int, negatives: int, seed: int, threshold: float = 0.5) -> DataFrame:
@@ -75,13 +83,17 @@ def calibrate_on(session: Session, records: DataFrame, positives: int, negatives
 
 
 def run(session: Session, records: DataFrame, positives: int, negatives: int, seed: int, threshold: float) -> dict:
-    """A full evaluation: sizes, areas, the best operating points, and times."""
+    """A full evaluation: sizes, areas, the best operating points, and times.
+
+    Records are tokenised once; latencies are those of single records and
+    pairs, taken where they are encoded and compared. An action runs each part,
+    as what returns is numbers.
+    """
     began = time.time()
-    tokens, drops = tokenize_all(session, records)
-    tokens = tokens.persist()
-    n = tokens.count()
+    done = _tokenized(session, records, timed=True).persist()
+    n = done.count()
     tokenized = time.time()
-    rows = score_pairs(sample_pairs(records, positives, negatives, seed), tokens, session.field_set, threshold).select("label", "score").persist()
+    rows = score_pairs(sample_pairs(records, positives, negatives, seed), done, session.field_set, threshold, timed=True).select("label", "score", "ns").persist()
     count = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     matched = time.time()
     points = sweep(rows).persist()
@@ -90,14 +102,13 @@ def run(session: Session, records: DataFrame, positives: int, negatives: int, se
         row = df.first()
         return row.asDict() if row else None
 
-    def times(seconds: float, items: int) -> dict:
-        each = 1e9 * seconds / max(1, items)
-        return {"p50": each, "p99": each, "throughput": throughput(items, seconds)}
+    def times(df: DataFrame, seconds: float, items: int) -> dict:
+        return {**latency_summary(df, "ns", integral=True).first().asDict(), "throughput": throughput(items, seconds)}
 
     out = {
         "field_set_version": session.field_set.version,
         "field_set_fingerprint": session.field_set.fingerprint(),
-        "counts": {"records": n, "positives": count.get(True, 0), "negatives": count.get(False, 0), "dropped_fields": {r["path"]: r["drops"] for r in drops.collect()}},
+        "counts": {"records": n, "positives": count.get(True, 0), "negatives": count.get(False, 0), "dropped_fields": {r["path"]: r["drops"] for r in _drops(done).collect()}},
         "auroc": auroc(rows).first()["auroc"],
         "auprc": auprc(rows).first()["auprc"],
         "best_f1": one(pick_best(points, "f1")),
@@ -107,10 +118,10 @@ def run(session: Session, records: DataFrame, positives: int, negatives: int, se
         "recall_at_precision_99": one(pick_at(points, "precision", 0.99, "recall")),
         "at_threshold": one(confusion(rows, threshold)),
         "roc": [r.asDict() for r in points.orderBy("threshold").collect()],
-        "tokenize": times(tokenized - began, n),
-        "match": times(matched - tokenized, sum(count.values())),
+        "tokenize": times(done, tokenized - began, n),
+        "match": times(rows, matched - tokenized, sum(count.values())),
     }
-    for df in (tokens, rows, points):
+    for df in (done, rows, points):
         df.unpersist()
     return out
 

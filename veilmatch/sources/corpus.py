@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,8 +184,30 @@ def result_metrics(result: dict) -> dict[str, dict[str, float]]:
     return {k: {"value": float(v)} for k, v in flat.items()}
 
 
-def write_report(reports: dict[str, dict], location: str) -> None:
-    """``{bench: {metric: {"value": number}}}`` as indented JSON."""
-    with open(location, "w") as out:
-        json.dump(reports, out, indent=2)
-        out.write("\n")
+def write_report(spark: SparkSession, reports: dict[str, dict], location: str) -> None:
+    """``{bench: {metric: {"value": number}}}`` as indented JSON, at a path of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(location)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray((json.dumps(reports, indent=2) + "\n").encode()))
+    finally:
+        out.close()
+
+
+class Reports:
+    """Collects evaluations by name and writes them once, on ``close`` or at the end of the program, to ``location``
+    or where the environment variable VEILMATCH_REPORT says; without either nothing is written."""
+
+    def __init__(self, spark: SparkSession, location: str | None = None):
+        self.spark, self.location, self.held = spark, location or os.environ.get("VEILMATCH_REPORT"), {}
+        atexit.register(self.close)
+
+    def add(self, name: str, result: dict) -> None:
+        self.held[name] = result_metrics(result)
+
+    def close(self) -> None:
+        atexit.unregister(self.close)
+        if self.location and self.held:
+            write_report(self.spark, self.held, self.location)
+            self.held = {}
