@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 
@@ -32,9 +33,9 @@ def test_warc_fields():
     header = {"url": "http://a", "ip": "1.1.1.1", "date": "20100102030405", "kind": "text/html"}
     block = b"HTTP/1.1 200 OK\r\nX-Page-Id: 5\r\n\r\nbody"
     digest = hashlib.sha256(b"body").hexdigest()
-    (_, a, b1), (_, r, b2) = read_warc(iter([member(warc_record(header, block, None)) + member(warc_record(header, block, ("5", "http://a", "20100102030405")))]))
+    (_, a, b1), (_, r, b2) = read_warc(iter([member(warc_record(header, block, "x.arc", 9, None)) + member(warc_record(header, block, "x.arc", 70, {"path": "x.arc", "offset": 9, "page_id": 5, "url": "http://a", "date": "20100102030405"}))]))
     assert a["WARC-Date"] == "2010-01-02T03:04:05Z" and a["WARC-Payload-Digest"] == f"sha256:{digest}" and b1 == block
-    assert r["WARC-Type"] == "revisit" and r["WARC-Refers-To"] == a["WARC-Record-ID"] and not b2.endswith(b"body")
+    assert r["WARC-Type"] == "revisit" and r["WARC-Refers-To"] == a["WARC-Record-ID"] != r["WARC-Record-ID"] and not b2.endswith(b"body")
 
 
 def test_round_trip(spark):
@@ -64,3 +65,30 @@ def test_plain_arc_file(spark, tmp_path):
     assert r["payload_bytes"] == 12 and r["date"] == "1999-01-01T00:00:00Z" and r["page_id"] is None
     assert out.first()["path"].endswith("/old.warc.gz")
     assert len(list(inflated(chunks_of(out.first()["path"])))) == 1
+
+
+def test_a_long_plain_record_is_read_in_linear_time():
+    data = arc_opening(1, "f", "19990101000000") + arc_record(1, "http://a", "1.1.1.1", "19990101000000", "text/plain", b"y" * 80_000_000, "f", 0)
+    began = time.time()
+    ((_, _, block),) = read_arc(data[k: k + 32_768] for k in range(0, len(data), 32_768))
+    assert len(block) == 80_000_000 and time.time() - began < 2
+
+
+def test_equal_rows_and_names_stay_apart(spark):
+    """Equal rows get record ids of their own; files of one name in two folders give two archives, each from its own task."""
+    page = [(1, "http://x", "z" * 200)] * 3
+    files = write_arc(spark.createDataFrame(page, "page_id long, url string, html string").coalesce(1))
+    out = convert(files)
+    fields = [f for r in out.collect() for _, f, _ in read_warc(chunks_of(r["path"]))]
+    assert len({f["WARC-Record-ID"] for f in fields}) == 3
+    (first,) = [f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"]
+    assert [f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"] == [first, first]
+    source = files.first()["path"]
+    data = b"".join(chunks_of(source))
+    copies = [source.rsplit("/", 1)[0] + f"/{k}/same.arc.gz" for k in range(5)]
+    for c in copies:
+        write_file(c, data)
+    out = convert(spark.createDataFrame([(c, "clash") for c in copies], "path string, decisions string"))
+    assert len({r["path"] for r in out.collect()}) == 5
+    kinds = [f["WARC-Type"] for r in out.collect() for _, f, _ in read_warc(chunks_of(r["path"]))]
+    assert kinds.count("response") == 1 and len(kinds) == 5 * len(list(read_arc(chunks_of(source))))

@@ -13,7 +13,8 @@ written aside and published by a rename, so a task may run again.
 
 Defined cases: a null page is an empty payload; payloads below
 ``min_revisit_bytes`` are always responses; among equal payloads the smallest
-id that is not null is the response (of repeated ids, the first record met);
+id that is not null is the response (of repeated ids, the first record by
+archive and offset); equal rows get record ids of their own;
 a null url is written as ``urn:missing``; empty tables give no archives.
 """
 
@@ -105,19 +106,22 @@ def parse_arc_header(line: bytes, version: int) -> dict:
 
 def _plain(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
     """``(offset, header line, block)`` of an uncompressed file, by declared lengths."""
-    held, offset = b"", 0
+    held, offset, need = bytearray(), 0, 0
     for data in chunks:
         held += data
-        while True:
-            skip = len(held) - len(held.lstrip(b"\n")) if held[:1] == b"\n" else 0
+        while len(held) >= need:
+            skip = 0
+            while held[skip: skip + 1] == b"\n":
+                skip += 1
             end = held.find(b"\n", skip)
             if end < 0:
                 break
-            length = int(held[skip:end].rsplit(b" ", 1)[-1])
-            if len(held) < end + 1 + length:
+            need = end + 1 + int(held[skip:end].rsplit(b" ", 1)[-1])
+            if len(held) < need:
                 break
-            yield offset + skip, held[skip:end], held[end + 1: end + 1 + length]
-            held, offset = held[end + 1 + length:], offset + end + 1 + length
+            yield offset + skip, bytes(held[skip:end]), bytes(held[end + 1: need])
+            del held[:need]
+            offset, need = offset + need, 0
     if held.strip(b"\n"):
         raise ValueError(f"record at {offset} is cut short")
 
@@ -171,18 +175,19 @@ def warc_date(arc_date: str) -> str:
     return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z"
 
 
-def record_id(page: str | None, url: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {date} {digest}')}>"
+def record_id(archive: str, offset: int, digest: str) -> str:
+    """An id that the record's place and payload determine, so that equal rows get ids of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive} {offset} {digest}')}>"
 
 
-def warc_record(header: dict, block: bytes, refers_to: tuple | None) -> bytes:
-    """The WARC record of an ARC record; ``refers_to`` (page, url, date) makes it a revisit."""
+def warc_record(header: dict, block: bytes, archive: str, offset: int, refers_to: dict | None) -> bytes:
+    """The WARC record of an ARC record; ``refers_to`` (path, offset, page_id, url, date) makes it a revisit."""
     head, payload = split_http(block)
     digest = hashlib.sha256(payload).hexdigest()
     page = http_field(head, "X-Page-Id")
     fields = {
         "WARC-Type": "revisit" if refers_to else "response",
-        "WARC-Record-ID": record_id(page, header["url"], header["date"], digest),
+        "WARC-Record-ID": record_id(archive, offset, digest),
         "WARC-Date": warc_date(header["date"]),
         "WARC-Target-URI": header["url"],
         "WARC-IP-Address": header["ip"],
@@ -193,10 +198,10 @@ def warc_record(header: dict, block: bytes, refers_to: tuple | None) -> bytes:
         fields["X-Page-ID"] = page
     body = block
     if refers_to:
-        other, url, date = refers_to
-        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(other, url, date, digest), "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": warc_date(date)}
-        if other is not None:
-            fields["X-Refers-To-Page-ID"] = other
+        first = record_id(refers_to["path"], refers_to["offset"], digest)
+        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": first, "WARC-Refers-To-Target-URI": refers_to["url"], "WARC-Refers-To-Date": warc_date(refers_to["date"])}
+        if refers_to["page_id"] is not None:
+            fields["X-Refers-To-Page-ID"] = str(refers_to["page_id"])
         fields["X-Payload-Length"] = str(len(payload))
         body = head
     fields["WARC-Block-Digest"] = f"sha256:{hashlib.sha256(body).hexdigest()}"
@@ -224,20 +229,20 @@ def read_warc(chunks: Iterator[bytes]) -> Iterator[tuple[int, dict, bytes]]:
 _START = datetime(2010, 1, 1, tzinfo=timezone.utc)
 
 
-def _each(paths: DataFrame, fn, schema: str) -> DataFrame:
-    """Rows that ``fn(path)`` yields, one task for each archive."""
+def _each(archives: DataFrame, fn, schema: str) -> DataFrame:
+    """Rows that ``fn(path, ...)`` yields from each row's columns, dealt in turn to as many tasks as there are archives."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
-    n = paths.count()
+    n = archives.count()
 
     def run(batches):
         import pyarrow as pa
 
         names, rows = kinds.names, []
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                for row in fn(path):
+            for columns in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in fn(*columns):
                     rows.append(dict(zip(names, row)))
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
@@ -245,7 +250,7 @@ def _each(paths: DataFrame, fn, schema: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return paths.select("path").repartition(max(1, n)).mapInArrow(run, schema)
+    return archives.repartition(max(1, n)).mapInArrow(run, schema)
 
 
 def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -318,30 +323,24 @@ def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
 def convert(files: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """WARC files of ARC files (``path``), in the shared folder; returns ``path``.
 
-    Each ARC file with its revisit decisions is one group, bounded by the
-    size of an archive.
+    An archive's revisit decisions are gathered to one row, bounded by its
+    records, and every archive is rewritten by a task of its own.
     """
     spark = files.sparkSession
     root = work_path(spark, "warc")
+    files = files.select("path")
     records = materialise(scan_arc(files), "arc-records")
-    decisions = revisits(records, min_bytes)
-    none = files.select("path", F.lit(-1).cast("long").alias("offset"), F.lit(None).cast(decisions.schema["refers"].dataType).alias("refers"))
+    decisions = revisits(records, min_bytes).groupBy("path").agg(F.collect_list(F.struct("offset", "refers")).alias("decisions"))
 
-    def rewrite(table):
-        import pyarrow as pa
-
-        source = table.column("path")[0].as_py()
-        refers = dict(zip(table.column("offset").to_pylist(), table.column("refers").to_pylist()))
-        out = []
-        for at, header, block in read_arc(chunks_of(source)):
-            r = refers.get(at)
-            to = r and (None if r["page_id"] is None else str(r["page_id"]), r["url"], r["date"])
-            out.append(member(warc_record(header, block, to)))
-        path = f"{root}/{source.rsplit('/', 1)[-1].removesuffix('.arc.gz').removesuffix('.arc')}.warc.gz"
+    def rewrite(source, decisions):
+        refers = {d["offset"]: d["refers"] for d in decisions or ()}
+        out = [member(warc_record(header, block, source, at, refers.get(at))) for at, header, block in read_arc(chunks_of(source))]
+        name = source.rsplit("/", 1)[-1].removesuffix(".arc.gz").removesuffix(".arc")
+        path = f"{root}/{hashlib.sha256(source.encode()).hexdigest()[:16]}/{name}.warc.gz"
         write_file(path, b"".join(out))
-        return pa.table({"path": [path]})
+        yield (path,)
 
-    return materialise(decisions.unionByName(none).groupBy("path").applyInArrow(rewrite, "path string"), "warc-files")
+    return materialise(_each(materialise(files.join(decisions, "path", "left"), "arc-decisions"), rewrite, "path string"), "warc-files")
 
 
 def read_back(files: DataFrame) -> DataFrame:
@@ -359,4 +358,4 @@ def read_back(files: DataFrame) -> DataFrame:
             page, other = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
             yield page and int(page), fields["WARC-Target-URI"], fields["WARC-Date"], size, digest, kind, other and int(other)
 
-    return _each(files, scan, "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _each(files.select("path"), scan, "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long")
