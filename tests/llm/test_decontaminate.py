@@ -1,9 +1,11 @@
 import random
+import time
 import re
 
+import numpy as np
 import pytest
 
-from veilmatch.llm.decontaminate import contamination
+from veilmatch.llm.decontaminate import contamination, suffix_order
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -64,3 +66,26 @@ def test_location_and_kept_columns(spark):
     assert r["text"].startswith("x y") and tuple(r["match"])[3:] == (4, 2, "5", 1)
     assert contamination(d.limit(0), b).count() == 0
     assert contamination(d, b.limit(0)).first()["match"]["n_hit"] == 0
+    clash = d.withColumn("Match", d["text"])
+    with pytest.raises(ValueError, match="column"):
+        contamination(clash, b, keep=True)
+    assert contamination(clash, b, window=3, keep=True, name="found").first()["found"]["n_hit"] == 4
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_suffix_array(seed):
+    rng = random.Random(seed)
+    ids = [rng.randint(0, 2) for _ in range(rng.choice([0, 1, 50, 300]))] + [1, 2] * 40
+    order = suffix_order(np.array(ids)).tolist()
+    nones = [k for k, x in enumerate(ids) if x == 0]
+    value = [-1 - nones.index(k) if x == 0 else x for k, x in enumerate(ids)]
+    assert order == sorted(range(len(ids)), key=lambda k: value[k:])
+
+
+def test_equal_items_do_not_multiply(spark):
+    """3,000 items of one text that occurs 500 times in a document."""
+    d = spark.createDataFrame([(1, "aa bb cc dd " * 500)], "doc_id long, text string")
+    b = spark.range(3000).selectExpr("id AS item_id", "'aa bb cc dd' AS text")
+    began = time.time()
+    r = contamination(d, b).first()["match"]
+    assert len(r["items"]) == 3000 and r["n_hit"] == 2000 and time.time() - began < 20

@@ -4,18 +4,20 @@ Texts become words: ASCII letters lower-cased, everything but digits, letters
 and non-ASCII characters a break. A benchmark item is cut into suffixes, one
 for each window of ``window`` words (all its words if it has fewer). A task
 turns its documents, about a million words at a time, into one array of word
-numbers, sorts the suffixes that can match (those starting with words that
-start some window) and binary-searches every test suffix in that order. Hits
-that follow each other in both texts are joined into longest verbatim matches.
+numbers, sorts all its suffixes and binary-searches every test suffix in that
+array. Hits that follow each other in both texts are joined into longest
+verbatim matches.
 
-Nothing is shuffled. The benchmark is cut into blocks of a fixed number of
-words, stored in the shared folder; every shard is searched block by block, so
-neither the driver nor a task holds more than one block.
+No document is shuffled. Tasks cut the benchmark into blocks of a fixed number
+of words and store them in the shared folder; every shard is searched block by
+block, so no task holds more than one block. A shard grows with the number of
+blocks, up to ``MOST_SHARDS`` times, so that a block is read less often.
 
 Defined cases: a null or empty text has no words and is never contaminated;
 null or empty items have no windows; null item ids are left out of the lists;
 repeated rows are judged each; empty tables give no rows, or no hits; the
-input's other columns are ignored, or kept as they are with ``keep=True``.
+input's other columns are ignored, or kept as they are with ``keep=True`` (a
+column named as the result is a ValueError); a very long text is one shard.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, read_file, work_path, write_file
+from .common import claim, materialise, new_name, read_file, work_path, write_file
 
 WINDOW = 10
 SHARD_BYTES = 6_000_000
 BLOCK_WORDS = 1_000_000
-START_WORDS = 3
+MOST_SHARDS = 4
 
 _WORD = {*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)}
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b in _WORD else 32 for b in range(256))
@@ -43,15 +45,42 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
+def suffix_order(ids: np.ndarray) -> np.ndarray:
+    """The suffix array of ``ids``: all its positions, sorted by the whole suffixes that start there.
+
+    Ranks by 1, 2, 4, ... words are refined until no two are equal. A 0 stands
+    for a word of no item; each is unlike any other, as no match reaches over it.
+    """
+    n = len(ids)
+    value = ids.astype(np.int64)
+    none = np.flatnonzero(value == 0)
+    value[none] = -1 - np.arange(len(none))
+    _, rank = np.unique(value, return_inverse=True)
+    order, size = np.argsort(rank), 1
+    while n and rank[order[-1]] < n - 1:
+        behind = np.zeros(n, np.int64)
+        behind[: max(0, n - size)] = rank[size:] + 1
+        key = rank * (n + 1) + behind
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        size *= 2
+    return order
+
+
 class Block:
-    """Test suffixes of some items, ready to be searched for."""
+    """Test suffixes of some items, ready to be searched for. Items of equal words are one text with several ids."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
-        self.ids = [i for i, _ in items]
-        self.vocab = {w: n for n, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}
+        owners: dict[tuple[bytes, ...], list] = {}
+        for i, ws in items:
+            owners.setdefault(tuple(ws), []).append(i)
+        self.ids = [sorted({i for i in ids if i is not None}) for ids in owners.values()]
+        self.vocab = {w: n for n, w in enumerate(sorted({w for ws in owners for w in ws}), 1)}
         found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for item, (_, ws) in enumerate(items):
+        for item, ws in enumerate(owners):
             ids = [self.vocab[w] for w in ws]
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1 if size else 0):
@@ -67,36 +96,24 @@ class Block:
         self.high = self._keys(high)
         self.first = np.cumsum([0, *(len(v) for v in found.values())])
         self.places = np.array([p for v in found.values() for p in v], np.int64).reshape(-1, 2)
-        self.head = min([START_WORDS, *self.lengths.tolist()]) if found else 0
-        self.starts = np.zeros(1 << 20, bool)
-        if found:
-            self.starts[self._mix([pad[:, k] for k in range(self.head)])] = True
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.window}").ravel()
 
-    @staticmethod
-    def _mix(columns: list[np.ndarray]) -> np.ndarray:
-        h = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            h = (h + c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        return (h >> np.uint64(44)).astype(np.int64)
-
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and window numbers of all occurrences in ``ids``, where 0 never matches."""
-        if not len(self.lengths) or len(ids) < self.head:
+        """Positions and window numbers of all occurrences in ``ids``, where 0 never matches: every test suffix is
+        binary-searched in the suffix array."""
+        if not len(self.lengths) or not ids.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n = len(ids) - self.head + 1
-        can = self.starts[self._mix([ids[k: k + n] for k in range(self.head)])]
-        for k in range(self.head):
-            can &= ids[k: k + n] != 0
-        begin = np.flatnonzero(can)
-        if not len(begin):
-            return begin, begin
-        tail = np.concatenate([ids, np.zeros(self.window, ids.dtype)])
-        keys = self._keys(tail[begin[:, None] + np.arange(self.window)[None, :]])
-        order = np.argsort(keys, kind="stable")
-        suffixes, keys = begin[order], keys[order]
+        suffixes = suffix_order(ids)
+        suffixes = suffixes[np.searchsorted(ids[suffixes], 1):]  # those that start with a word of some item lie behind the others
+        tail = np.concatenate([ids.astype(np.uint32), np.zeros(self.window, np.uint32)])
+        keys = np.empty((len(suffixes), self.window), ">u4")
+        for k in range(self.window):
+            keys[:, k] = tail[suffixes + k]
+            if k:
+                keys[:, k] *= keys[:, k - 1] != 0  # words behind a 0 don't decide
+        keys = keys.view(f"S{4 * self.window}").ravel()
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         count = hi - lo
         win = np.repeat(np.arange(len(count)), count)
@@ -106,27 +123,37 @@ class Block:
 
 def stored_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> list[str]:
     """Write the benchmark as blocks in the shared folder; returns their paths."""
-    spark, paths = benchmark.sparkSession, []
-    root = work_path(spark, "benchmark")
-    held: list[tuple[str | None, list[bytes]]] = []
-    size = 0
+    root = work_path(benchmark.sparkSession, "benchmark")
 
-    def put():
-        paths.append(f"{root}/block-{len(paths):05d}")
-        write_file(paths[-1], pickle.dumps(Block(held, window)))
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    for r in rows.toLocalIterator():
-        ws = words((r["t"] or "").encode())
-        if ws:
-            held.append((r["i"], ws))
-            size += len(ws)
-        if size >= block_words:
+        from .packing import text_bytes
+
+        part, paths, held, size = TaskContext.get().partitionId(), [], [], 0
+
+        def put():
+            paths.append(f"{root}/block-{part:05d}-{len(paths):05d}")
+            write_file(paths[-1], pickle.dumps(Block(held, window)))
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                ws = words(text)
+                if ws:
+                    held.append((i, ws))
+                    size += len(ws)
+                if size >= block_words:
+                    put()
+                    held, size = [], 0
+        if held:
             put()
-            held, size = [], 0
-    if held or not paths:
-        put()
-    return paths
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    stored = rows.repartition(1 + size // (8 * block_words)).mapInArrow(run, "path string")
+    return sorted(r["path"] for r in materialise(stored, "benchmark-blocks").collect())
 
 
 _LOADED: dict[str, Block] = {}
@@ -146,8 +173,8 @@ def scan_shard(texts: list[bytes], blocks: list[str]) -> list[tuple]:
     covered = bounds = None
     items: list[set] = [set() for _ in texts]
     longest: list[tuple] = [(0, None, None, None)] * len(texts)
-    for path in blocks:
-        block = _block(path)
+    for path in blocks or [None]:
+        block = _block(path) if path else Block([], 1)
         vocab = block.vocab
         ids = np.fromiter(map(vocab.get, joined, repeat(0)), np.int64, len(joined))
         if bounds is None:
@@ -172,11 +199,10 @@ def scan_shard(texts: list[bytes], blocks: list[str]) -> list[tuple]:
         length = where[last] - where[first] + size[last]
         doc = np.searchsorted(bounds, where[first], "right") - 1
         for d, i, n, p, q in zip(doc.tolist(), item[first].tolist(), length.tolist(), (where[first] - bounds[doc] - 1).tolist(), begin[first].tolist()):
-            if block.ids[i] is not None:
-                items[d].add(block.ids[i])
-            found = (n, p, block.ids[i], q)
-            if n > longest[d][0] or n == longest[d][0] and (p, str(block.ids[i]), q) < (longest[d][1], str(longest[d][2]), longest[d][3]):
-                longest[d] = found
+            items[d].update(block.ids[i])
+            owner = block.ids[i][0] if block.ids[i] else None
+            if n > longest[d][0] or n == longest[d][0] and (p, str(owner), q) < (longest[d][1], str(longest[d][2]), longest[d][3]):
+                longest[d] = (n, p, owner, q)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
     return [
         (int(b - a - 1), int(hit[b] - hit[a + 1]), sorted(items[n]), *longest[n])
@@ -213,7 +239,10 @@ def contamination(
     """The input's id (or with ``keep`` all its columns) and a struct
     ``name(n_words, n_hit, items, longest, ...)`` for each document, where
     ``items`` are the ids of items with occurring windows, sorted as strings."""
+    if keep:
+        new_name(docs.columns, name)
     blocks = stored_blocks(benchmark, item_col, item_text_col, window, block_words)
+    shard_bytes *= min(MOST_SHARDS, max(1, len(blocks)))
     slim = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = slim.columns.index(text_col if keep else "text")
     kept = [f for f in slim.schema if keep or f.name != "text"]
