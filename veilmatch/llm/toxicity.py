@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, materialise
+from .common import claim, materialise, new_name
 
 POSITIVES, NEGATIVES = 3000, 6000
 MAX_TERMS = 256
@@ -365,10 +365,11 @@ def fit(
     for y, most in ((1, positives), (0, negatives)):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = materialise(
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(materialise(chosen, "toxicity-ids")), "__id"), "toxicity-sample"
-    )
-    lexicon = _lexicon(sample, max_terms)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(materialise(chosen, "toxicity-ids")), "__id")
+    sample = materialise(texts.groupBy("__id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxicity-sample")
+    # the lexicon is learned from the growing part alone, so that calibration sees features of unseen labels
+    calibrates = F.crc32(F.concat(F.lit("calibrate "), F.col("__id").cast("string")).cast("binary")) % 4 == 0
+    lexicon = _lexicon(sample.where(~calibrates), max_terms)
     chunks = []
 
     def rows(texts):
@@ -396,7 +397,7 @@ def hash_part(value) -> bool:
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
-    """The input's id (or with ``keep`` all its columns) and its score from 0 to 1."""
+    """The input's id (or with ``keep`` all its columns, none of them called ``name``) and its score from 0 to 1."""
     chunks = []
 
     def rows(texts):
@@ -406,5 +407,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             chunks.append(Chunks(model.lexicon))
         return model.boosted.score(features(texts, chunks[0])).tolist()
 
+    if keep:
+        new_name(docs.columns, name)
     source = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _kept(source, text_col if keep else "text", rows, name, T.DoubleType(), source.columns if keep else ["doc_id"])
