@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from veilmatch.llm import media
 from veilmatch.llm.media import decode, feature, from_png, padded, plan_ranges, read_archives, to_png, write_archives
 
 
@@ -60,3 +61,40 @@ def test_a_damaged_member_leaves_the_others(spark):
     assert len(got) == 6 and got["3/3.png"]["content"] is None and "damaged" in got["3/3.png"]["error"]
     assert sum(r["content"] is not None for r in got.values()) == 5
     assert [r["member"] for r in decode(read_archives(spark, path)).where("error IS NOT NULL").collect()] == ["3/3.png"]
+
+
+def test_reads_are_tried_again(spark, tmp_path, monkeypatch):
+    """A member and a directory that fail once are read; an archive that can't be read gives an error and not the query's end."""
+    df = spark.createDataFrame([(k, "text " * 50) for k in range(3)], "doc_id long, text string").coalesce(1)
+    path = write_archives(df)
+    calls = {"members": 0, "read_member": 0}
+
+    def flaky(name, real):
+        def fn(*args):
+            calls[name] += 1
+            if calls[name] == 1:
+                raise OSError("once")
+            return real(*args)
+
+        return fn
+
+    for name in calls:
+        monkeypatch.setattr(media, name, flaky(name, getattr(media, name)))
+    reader = media.MediaReader({"path": path})
+    (part,) = reader.partitions()
+    got = [r for b in reader.read(part) for r in b.to_pylist()]
+    assert len(got) == 3 and all(r["content"] and r["error"] is None for r in got) and calls == {"members": 2, "read_member": 4}
+    monkeypatch.undo()
+    (tmp_path / "bad.zip").write_bytes(b"PK no directory")
+    (r,) = read_archives(spark, str(tmp_path)).collect()
+    assert r["content"] is None and r["error"] and decode(read_archives(spark, str(tmp_path))).first()["error"] == r["error"]
+
+
+def test_features_by_hand():
+    """Mean, deviation, entropy and step of the samples, written out."""
+    x = padded(bytes([0, 10, 10, 30]) * 48)
+    p = [0.25, 0.5, 0.25]
+    mean = sum(v * q for v, q in zip((0, 10, 30), p))
+    spread = sum((v - mean) ** 2 * q for v, q in zip((0, 10, 30), p)) ** 0.5
+    steps = [abs(a - b) for a, b in zip(x, x[1:])]
+    assert feature(x) == f"mean={mean:.3f};deviation={spread:.3f};entropy=1.5000;step={sum(steps) / len(steps):.3f}"

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from veilmatch.llm.neardup import Signer, bands_for, components, deduplicate, near_duplicates, shingles
+from veilmatch.llm.neardup import bands_for, components, deduplicate, near_duplicates, shingles, Signer
 
 
 def sets_of(text, k):
@@ -107,3 +107,17 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
     want = {str(c) for _, _, c, _ in words}
     assert sorted({i for i, t in got if sets_of(t, 5)}) == sorted(want)
     assert sum(1 for _, t in got if sets_of(t, 5)) == len(want) and sum(1 for _, t in got if not sets_of(t, 5)) == 3
+
+
+def test_bands_hold_the_promised_chance_at_any_threshold():
+    for percent in (1, 5, 20, 50, 80, 85, 99, 100):
+        bands, rows = bands_for(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-7
+    with pytest.raises(ValueError):
+        bands_for(0)
+
+
+def test_clashing_names_stay(spark):
+    rows = [(1, "a b c d e f g", "k", "r", "w", 5), (2, "a b c d e f g", "k", "r", "w", 6), (3, "x y", "k", "r", "w", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string, __row string, __Winner string, __least int")
+    assert sorted(map(tuple, deduplicate(df).collect())) == [rows[0], rows[2]]

@@ -61,3 +61,10 @@ def test_redaction(spark):
     assert got == {0: "a [REDACTED:assign] b", 1: "x [REDACTED:access]", 2: None, 3: "", 4: "clean é", 5: "token: ab", 6: "[REDACTED:assign] end", 7: "[REDACTED:hex]"}
     assert all(not s for s in [brute(t) for t in got.values()])
     assert len(BASE) == 3
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdef1234", "k", "i"), (2, None, "k", "i")], "doc_id long, text string, __kinds string, __ID string")
+    got = {r["doc_id"]: tuple(r) for r in redact(df).collect()}
+    assert got == {1: (1, "[REDACTED:assign]", "k", "i"), 2: (2, None, "k", "i")}
+    assert scan(df.withColumn("kinds", df["text"])).count() == 2

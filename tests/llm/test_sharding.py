@@ -40,4 +40,12 @@ def test_placement(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert shard(df, 4, slots=16)[0].count() == 0
+    placed, slot_map, path = shard(df, 4, slots=16)
+    assert placed.count() == 0 and sorted(slot_map.assignment) == sorted([0, 1, 2, 3] * 4)
+    assert SlotMap.load(spark.read.parquet(path)) == slot_map
+
+
+def test_the_stored_map_knows_its_shards(spark):
+    """Even those that hold no slot."""
+    m = SlotMap(7, (0, 1, 0, 1), 3)
+    assert SlotMap.load(m.table(spark)) == m

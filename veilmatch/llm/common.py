@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -26,8 +29,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; nothing is created there yet."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; nothing is created there yet. ``clear`` deletes what is."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -70,6 +75,33 @@ def read_file(uri: str) -> bytes:
         return src.read()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores behind it as keep it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def new_name(columns: list[str], name: str) -> str:
+    """``name``, or a ValueError if the input holds a column of that name."""
+    if free_name(columns, name) != name:
+        raise ValueError(f"the input has a column {name!r}; give the result another name")
+    return name
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the files and tables that operators of this session wrote in the shared folder.
+
+    Results are read lazily, so call it when they have been used.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def id_crc_mod(column: str | Column, modulus: int) -> Column:
     """``crc32`` of the id's decimal text, modulo ``modulus`` (null id: of the empty text)."""
     text = F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))

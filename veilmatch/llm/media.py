@@ -169,7 +169,7 @@ def read_member(fsys, path: str, offset: int) -> tuple[str, bytes]:
     with fsys.open_input_file(path) as src:
         src.seek(offset)
         head = src.read(30)
-        if head[:4] != b"PK\x03\x04":
+        if len(head) < 30 or head[:4] != b"PK\x03\x04":
             raise ValueError("no member header")
         flags, method, crc, size, name, extra = struct.unpack("<6xHH4xI4xIHH", head)
         if method or flags & 8:
@@ -215,18 +215,24 @@ class MediaReader(DataSourceReader):
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+        def tried(fn, *args):
+            """What ``fn`` gives and no error, or the last error of all tries."""
+            for _ in range(self.retries + 1):
+                try:
+                    return fn(fsys, *args), None
+                except (OSError, ValueError, struct.error, zipfile.BadZipFile) as e:
+                    error = f"{type(e).__name__}: {e}"
+            return None, error
+
         for path, start, end in partition.ranges:
-            for offset, name, _ in members(fsys, path):
+            found, error = tried(members, path)
+            if error:
+                rows.append((path, start, None, None, error))
+            for offset, name, _ in found or ():
                 if not start <= offset < end:
                     continue
-                content = error = None
-                for _ in range(self.retries + 1):
-                    try:
-                        _, content = read_member(fsys, path, offset)
-                        error = None
-                        break
-                    except (OSError, ValueError) as e:
-                        error = f"{type(e).__name__}: {e}"
+                got, error = tried(read_member, path, offset)
+                content = got and got[1]
                 rows.append((path, offset, name, content, error))
                 size += len(content or b"")
                 if size >= self.batch:

@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, materialise
+from .common import claim, free_name, materialise
 
 MISS = 1e-7
+#: Bands that a signature has at most, unless one row a band asks for more.
 MAX_BANDS = 56
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -53,11 +54,18 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands_for(percent: int, miss: float = MISS, most: int = MAX_BANDS) -> tuple[int, int]:
-    """``(bands, rows)``: the most selective bands that miss a pair at the threshold with chance <= ``miss``."""
-    best = (most, 1)
+    """``(bands, rows)``: the most selective bands that miss a pair at the threshold with chance <= ``miss``.
+
+    The chance is that of independent rows. Bins of one signature agree or
+    differ together a little, which makes it up to some 50 times as large for
+    a pair exactly at the threshold (5e-6); pairs above it gain quickly.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    best = None
     for rows in range(1, 33):
-        bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
-        if bands > most:
+        bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+        if best and bands > most:
             break
         best = (bands, rows)
     return best
@@ -357,9 +365,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id. Rows without words all stay."""
     k = shingle_words
     _, named = linked_classes(docs, id_col, text_col, k, percent)
-    winners = named.where("first").select(F.col("set_key").alias("__winner"), F.col("least_id").alias("__least"))
+    key, winner, least, row_name = (free_name(docs.columns, x) for x in ("__key", "__winner", "__least", "__row"))
+    winners = named.where("first").select(F.col("set_key").alias(winner), F.col("least_id").alias(least))
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema, T.StructField("__key", T.BinaryType())])
+    schema = T.StructType([*docs.schema, T.StructField(key, T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
@@ -373,7 +382,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[f.name for f in schema])
 
     keyed = docs.mapInArrow(run, schema)
-    match = (F.col("__key") == F.col("__winner")) & F.col(id_col).cast("long").eqNullSafe(F.col("__least"))
-    found = keyed.join(winners, match, "left").where("__key IS NULL OR __winner IS NOT NULL")
-    row = F.when(F.col("__key").isNull(), F.monotonically_increasing_id())
-    return found.withColumn("__row", row).dropDuplicates(["__key", id_col, "__row"]).select(*docs.columns)
+    match = (F.col(key) == F.col(winner)) & F.col(id_col).cast("long").eqNullSafe(F.col(least))
+    found = keyed.join(winners, match, "left").where(F.col(key).isNull() | F.col(winner).isNotNull())
+    row = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return found.withColumn(row_name, row).dropDuplicates([key, id_col, row_name]).select(*docs.columns)

@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 MAX_STRINGS = 64
 MAX_CLASS = 8
@@ -194,26 +194,27 @@ def _mask(least: int, mask: Column):
     return lambda m, k: F.when(k >= least, mask).otherwise(m)
 
 
-def _with_kinds(docs: DataFrame, rules, id_col: str, text_col: str) -> DataFrame:
-    """The rows with ``__kinds``, the rules to verify (null: those that scan all)."""
+def _with_kinds(docs: DataFrame, rules, id_col: str, text_col: str, kinds: str) -> DataFrame:
+    """The rows with a column ``kinds``, the rules to verify (null: those that scan all)."""
     postings = materialise(index(docs, rules, id_col, text_col), "secret-postings")
-    found = candidates(postings, rules).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
-    return docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    other = free_name(docs.columns, "__id")
+    found = candidates(postings, rules).select(F.col("doc_id").alias(other), F.col("kinds").alias(kinds))
+    return docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(other)), "left").drop(other)
 
 
-def _asked(rule: Rule) -> Column:
+def _asked(rule: Rule, kinds: str) -> Column:
     if not query_of(rule.pattern):
         return F.lit(True)
-    return F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
+    return F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
 
 
 def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, spans`` (array of ``start, rank, end, kind``, sorted) of each row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _with_kinds(slim, rules, "doc_id", "text")
+    rows = _with_kinds(slim, rules, "doc_id", "text", "kinds")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
-    each = [F.when(_asked(r), spans_of(text, r, n)).otherwise(none) for n, r in enumerate(rules)]
+    each = [F.when(_asked(r, "kinds"), spans_of(text, r, n)).otherwise(none) for n, r in enumerate(rules)]
     return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
 
@@ -223,12 +224,13 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with every secret replaced by ``[REDACTED:kind]``, rule after rule."""
-    rows = _with_kinds(docs, rules, id_col, text_col)
+    kinds = free_name(docs.columns, "__kinds")
+    rows = _with_kinds(docs, rules, id_col, text_col, kinds)
     for r in rules:
         text = F.col(text_col)
         between, matches, sizes = _pieces(text, r)
         least, mask = r.least, F.lit(f"[REDACTED:{r.kind}]")
         masked = F.zip_with(matches, sizes, _mask(least, mask))
         joined = F.array_join(F.zip_with(between, masked, lambda b, m: F.concat(F.coalesce(b, F.lit("")), F.coalesce(m, F.lit("")))), "")
-        rows = rows.withColumn(text_col, F.when(_asked(r) & F.rlike(text, F.lit(r.pattern)), joined).otherwise(text))
-    return rows.drop("__kinds")
+        rows = rows.withColumn(text_col, F.when(_asked(r, kinds) & F.rlike(text, F.lit(r.pattern)), joined).otherwise(text))
+    return rows.drop(kinds)

@@ -8,8 +8,11 @@ slots as it can; records never change their slot.
 
 Defined cases: a null text has no bytes (size is the overhead alone, CRC of
 the empty text); the slot key is the id together with the text's CRC, so rows
-that share an id but not a text are spread; an empty table gives no rows and a
-map all the same; other columns are ignored.
+that share an id but not a text are spread; rows of equal texts and different
+ids go to slots of their own, so that a large group of copies spreads over all
+shards (the law is of bytes, not of texts); a very long text is one record of
+its size; an empty table gives no rows and a map that deals its empty slots in
+turn; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +39,13 @@ class SlotMap:
 
     @classmethod
     def build(cls, slot_bytes: list[int], shards: int) -> SlotMap:
-        """Largest slot first, each to the shard with the fewest bytes so far."""
-        heap = [(0, s) for s in range(shards)]
+        """Largest slot first, each to the shard with the fewest bytes so far (ties: the fewest slots, so empty ones are dealt in turn)."""
+        heap = [(0, 0, s) for s in range(shards)]
         out = [0] * len(slot_bytes)
         for slot in sorted(range(len(slot_bytes)), key=lambda s: (-slot_bytes[s], s)):
-            load, shard = heapq.heappop(heap)
+            load, held, shard = heapq.heappop(heap)
             out[slot] = shard
-            heapq.heappush(heap, (load + slot_bytes[slot], shard))
+            heapq.heappush(heap, (load + slot_bytes[slot], held + 1, shard))
         return cls(shards, tuple(out))
 
     def loads(self, slot_bytes: list[int]) -> list[int]:
@@ -79,8 +82,8 @@ class SlotMap:
         return replace(self, shards=shards, assignment=tuple(out), version=self.version + 1)
 
     def table(self, spark: SparkSession, slot_rows: list[int] | None = None) -> DataFrame:
-        """Rows ``version, virtual_slot, shard, first`` where ``first`` counts the
-        shard's records in earlier slots."""
+        """Rows ``version, shards, virtual_slot, shard, first`` where ``first`` counts
+        the shard's records in earlier slots."""
         at, first = [0] * self.shards, []
         for slot, shard in enumerate(self.assignment):
             first.append(at[shard])
@@ -91,6 +94,7 @@ class SlotMap:
 
         return spark.range(len(self.assignment)).select(
             F.lit(self.version).alias("version"),
+            F.lit(self.shards).alias("shards"),
             F.col("id").alias("virtual_slot"),
             pick(self.assignment).cast("int").alias("shard"),
             pick(first).cast("long").alias("first"),
@@ -99,7 +103,7 @@ class SlotMap:
     @classmethod
     def load(cls, table: DataFrame) -> SlotMap:
         rows = table.orderBy("virtual_slot").collect()
-        return cls(max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows), rows[0]["version"])
+        return cls(rows[0]["shards"], tuple(r["shard"] for r in rows), rows[0]["version"])
 
 
 def records(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
