@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import corrupt, similarity
+from ..functions import similarity
 from ..functions.normalize import COUNTRY, EMAIL, PHONE, normalize
 from ..functions.tokens import _pads, bloom_fields, field_hmac_column, framed, grams_column, positions_column, words_of
 from ..operators import evaluate
@@ -19,8 +19,8 @@ from ..operators.link import best_match, link_equal, link_similar
 from ..operators.tokenize import Tokenizer, annotate, comparable, describe
 from ..operators.validate import drop_counts, path_parts, record_errors, record_from_map, sanitize, valid_path
 from ..sources.corpus import febrl_corpus, in_hash_sample, token_from_json, token_json, voter_records
-from .schema import ADDRESS, DATE, DEFAULT, HARDENED, IDENTIFIER, NAME, FieldPath, FieldSet, FieldSpec, default_field_set, path
-from .session import Session, run, scored, tokenize_all
+from .schema import ADDRESS, DATE, DEFAULT, IDENTIFIER, NAME, FieldPath, FieldSet, FieldSpec, default_field_set, path
+from .session import Session, tokenize_all
 
 KEY = b"a throw-away key for checks"
 FULL, ID, AREA = path(NAME, "full"), path(IDENTIFIER, "national_id"), path(ADDRESS, "admin_area")
@@ -350,12 +350,6 @@ def popcounts(spark, sf):
     return tokens(spark, sf).select("id", *(F.col("pops")[k].alias(n) for k, n in enumerate(("name", "national_id", "area"))))
 
 
-@query()
-def hardened_tokens(spark, sf):
-    t = Session(KEY, LINK.with_bloom(HARDENED, "link/1-hardened"), "k1").probabilistic(people(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id"))
-    return comparable(t).select("id", F.sha2(F.array_join(F.transform("token.fields", F.hex), ""), 256).alias("digest"), F.array_min("pops").alias("least"))
-
-
 @query(
     f"""SELECT c_custkey AS id, 'DeterministicToken{{v=link/1 key=k1 fp={LINK.fingerprint()[:8]} fields=3/3 bytes=96}}' AS det,
     'ProbabilisticToken{{v=link/1 key=k1 fp={LINK.fingerprint()[:8]} size=2048b fields=3/3 bytes=768}}' AS bloom FROM customer"""
@@ -468,11 +462,18 @@ def _labelled(spark, sf) -> DataFrame:
 
 
 _COUNTS = "count(*) FILTER (score >= t AND label) AS tp, count(*) FILTER (score >= t AND NOT label) AS fp, count(*) FILTER (score < t AND NOT label) AS tn, count(*) FILTER (score < t AND label) AS fn"
-_POINTS = f"""SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
+
+
+def _points(source: str) -> str:
+    """Operating points at 101 thresholds of rows with ``score`` and ``label``."""
+    return f"""SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
   SELECT t AS threshold, tp, fp, tn, fn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS recall,
     (tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE) AS accuracy, CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / CAST(fp + tn AS DOUBLE) END AS fpr,
     CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0.0 ELSE (CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc
-  FROM (SELECT t, {_COUNTS} FROM ({_LABELLED}), (SELECT unnest(range(0, 101)) / 100.0 AS t) GROUP BY t))"""
+  FROM (SELECT t, {_COUNTS} FROM ({source}), (SELECT unnest(range(0, 101)) / 100.0 AS t) GROUP BY t))"""
+
+
+_POINTS = _points(_LABELLED)
 _ROUNDED = "threshold, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy, round(fpr, 6) AS fpr, round(mcc, 6) AS mcc"
 
 
@@ -558,7 +559,7 @@ _GROUPS = "SELECT p_partkey AS id, p_name || '/' || p_brand || '/' || p_type ||
 
 @query(f"SELECT canonical_id, array_to_string(list_sort(list(id)), ',') AS ids, count(*) AS n FROM ({_GROUPS}) GROUP BY canonical_id")
 def group_by_canonical(spark, sf):
-    return _groups(spark, sf).groupBy("canonical_id").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"), F.count("*").alias("n"))
+    return evaluate.group_by(_groups(spark, sf)).select("canonical_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n")
 
 
 @query(f"SELECT x.id AS a, y.id AS b FROM ({_GROUPS}) x JOIN ({_GROUPS}) y ON x.canonical_id = y.canonical_id AND x.id < y.id")
@@ -566,30 +567,12 @@ def positive_pairs(spark, sf):
     return evaluate.positive_pairs(_groups(spark, sf))
 
 
-@query()
-def negative_pairs(spark, sf):
-    return evaluate.sample_negatives(_groups(spark, sf), 200, 7)
-
-
 def _people_twice(spark, sf) -> DataFrame:
     """Both parties with ground truth, for whole evaluations."""
     a = people(spark, sf).select("id", F.col("id").cast("string").alias("canonical_id"), "record")
     return a.unionByName(people(spark, sf, "noisy").select((-F.col("id") - 1).alias("id"), F.col("id").cast("string").alias("canonical_id"), "record"))
 
 
-@query()
-def scored_pairs(spark, sf):
-    return scored(Session(KEY, NAMES), _people_twice(spark, sf), 300, 300, 1).select("a", "b", "label", F.round("score", 6).alias("score"))
-
-
-@query()
-def evaluation_run(spark, sf):
-    out = run(Session(KEY, NAMES), _people_twice(spark, sf), 300, 300, 1, 0.5)
-    best = out["best_f1"]
-    values = {"auroc": out["auroc"], "auprc": out["auprc"], "f1": best["f1"], "precision": best["precision"], "recall": best["recall"], "threshold": best["threshold"]}
-    return spark.range(1).select(*(F.lit(round(float(v), 6)).alias(k) for k, v in values.items()), F.lit(out["counts"]["records"]).cast("long").alias("records"))
-
-
 @query(f"SELECT id, len(p0) > 0 AS name FROM ({_PEOPLE_POS} ({PEOPLE})))")
 def tokenize_all_records(spark, sf):
     t, _ = tokenize_all(Session(KEY, LINK), people(spark, sf))
@@ -610,8 +593,9 @@ _FEBRL = f"""SELECT CAST(c_custkey AS VARCHAR) AS canonical_id, 'rec-' || c_cust
     '{FULL}=' || c_mktsegment || ' ' || c_name, '{COUNTRY}=AU']) AS entry FROM customer, (SELECT unnest(['org', 'dup-0']) AS k)"""
 
 
-@query(_FEBRL)
-def febrl_mapping(spark, sf):
+def febrl_frames(spark, sf) -> DataFrame:
+    """The corpus of two frames made from customers."""
+
     def frame(kind):
         c = table(spark, sf, "customer")
         day = F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")
@@ -620,10 +604,18 @@ def febrl_mapping(spark, sf):
             F.col("c_custkey").alias("soc_sec_id"), F.lit(" ").alias("postcode"), F.lit(None).cast("string").alias("suburb"), F.lit("").alias("state"), F.concat(F.lit("197001"), day).alias("date_of_birth"),
         )
 
-    out = febrl_corpus(frame("org"), frame("dup-0"))
+    return febrl_corpus(frame("org"), frame("dup-0"))
+
+
+def febrl_entries(out: DataFrame) -> DataFrame:
     return out.select("canonical_id", "entity_id", F.explode(F.map_entries("record")).alias("e")).select("canonical_id", "entity_id", F.concat("e.key", F.lit("="), "e.value").alias("entry"))
 
 
+@query(_FEBRL)
+def febrl_mapping(spark, sf):
+    return febrl_entries(febrl_frames(spark, sf))
+
+
 @query(
     f"""SELECT CAST(c_custkey AS VARCHAR) AS canonical_id, unnest(['{path(NAME, 'given')}=' || c_mktsegment, '{path(NAME, 'family')}=' || c_name, '{FULL}=' || c_mktsegment || ' ' || c_name,
     '{path(ADDRESS, 'locality')}=' || n_name, '{AREA}=NC', '{POSTAL}=' || lpad(CAST(c_custkey AS VARCHAR), 5, '0'), '{COUNTRY}=US']) AS entry
@@ -640,17 +632,5 @@ def voter_mapping(spark, sf):
     return out.select("canonical_id", F.explode(F.map_entries("record")).alias("e")).select("canonical_id", F.concat("e.key", F.lit("="), "e.value").alias("entry"))
 
 
-@query()
-def corrupt_values(spark, sf):
-    p, k, v = people(spark, sf), F.col("id"), F.col("name")
-    return p.select("id", corrupt.typo(v, k).alias("typo"), corrupt.drop_char(v, k).alias("drop_char"), corrupt.phonetic(v, k).alias("phonetic"), corrupt.ocr(v, k).alias("ocr"), corrupt.missing(v, k).alias("missing"))
-
-
-@query()
-def corrupt_records(spark, sf):
-    out = corrupt.corrupt_record(people(spark, sf), "id")
-    return out.select("id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("record")))).alias("record"))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return match_blocked(spark, sf)
