@@ -44,7 +44,7 @@ HEAD = 262_144
 GRAMS_A_WORD = 8
 #: Distinct words and grams a task holds before it hands its counts on.
 FLUSH_WORDS = 300_000
-FLUSH_GRAMS = 1_500_000
+FLUSH_GRAMS = 1_000_000
 #: Bytes and texts whose grams and texts whose words are worked on at once, grams of the tree that are weighed at once, grams in a packed row.
 BLOCK_BYTES = 4_000_000
 BLOCK_TEXTS = 256
