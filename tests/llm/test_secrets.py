@@ -45,7 +45,7 @@ def test_query_holds_for_every_match(pattern):
 def test_like_brute_force(spark):
     rng = random.Random(2)
     docs = [(k, "".join(rng.choice(PIECES) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 12)))) for k in range(150)]
-    docs += [(None, None), (None, "token=abcdefgh"), (3, ""), (3, "password: abcdefgh"), (3, "password: abcdefgh"), (500, "token=abcdefgh " * 300)]
+    docs += [(None, None), (None, "token=abcdefgh"), (3, ""), (3, "password: abcdefgh"), (3, "password: abcdefgh"), (500, "token=abcdefgh " * 300), (501, "token=ab é token=abcdefgh " * 400)]
     df = spark.createDataFrame([(*d, "x", [1]) for d in docs], "doc_id long, text string, kinds string, spans array<int>").repartition(3)
     got = sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in scan(df).collect()), key=str)
     assert got == sorted(((i, brute(t)) for i, t in docs), key=str)

@@ -28,6 +28,8 @@ from .common import free_name, materialise
 
 MAX_STRINGS = 64
 MAX_CLASS = 8
+#: Matches that are placed in one fold.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -166,28 +168,48 @@ def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _pieces(text: Column, rule: Rule) -> tuple[Column, Column, Column]:
-    """What lies between matches, the matches, and the lengths that decide."""
+def _pieces(text: Column, rule: Rule) -> tuple[Column, Column, Column | None]:
+    """What lies between matches (one piece more than matches), the matches, and the lengths that decide where a group tells them."""
     pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches, F.length)
-    return F.split(text, rule.pattern, -1), matches, sizes
+    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else None
+    return F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), sizes
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """Array of ``(start, rank, end, kind)`` of a rule's matches that are long enough."""
+    """Array of ``(start, rank, end, kind)`` of a rule's matches that are long enough.
+
+    A fold that appends copies its list at each match, so matches are placed in
+    runs of ``RUN``, each from its own start.
+    """
     between, matches, sizes = _pieces(text, rule)
-    steps = F.zip_with(F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"))), sizes, lambda s, k: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), k.alias("k")))
-    span = "array<struct<start: int, rank: int, end: int, kind: string>>"
+    steps = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), F.length(m).alias("k")))
+    if sizes is not None:
+        steps = F.zip_with(steps, sizes, lambda s, k: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), k.alias("k")))
+    none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
 
-    def step(acc, x):
+    def place(acc, x):  # the piece after the last match has no length and adds nothing
         start = acc["at"] + x["gap"]
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("rank"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind")))
         return F.struct((start + x["n"]).alias("at"), F.when(x["k"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(span)
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), folded).otherwise(none)
+    def begin(acc, run):
+        length = F.aggregate(run, F.lit(0), lambda total, x: total + F.coalesce(x["gap"] + x["n"], F.lit(0)))
+        return F.struct((acc["at"] + length).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def spans(runs):
+        starts = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(runs, starts, lambda run, at: F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), place, lambda acc: acc["out"])))
+
+    def cut(every):
+        return F.transform(F.sequence(F.lit(0), F.size(every) - 1, F.lit(RUN)), lambda at: F.slice(every, at + 1, F.lit(RUN)))
+
+    placed = _once(steps, lambda every: _once(cut(every), spans))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), placed).otherwise(none)
 
 
 def _mask(least: int, mask: Column):
@@ -230,6 +252,7 @@ def redact(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str =
         text = F.col(text_col)
         between, matches, sizes = _pieces(text, r)
         least, mask = r.least, F.lit(f"[REDACTED:{r.kind}]")
+        sizes = F.transform(matches, F.length) if sizes is None else sizes
         masked = F.zip_with(matches, sizes, _mask(least, mask))
         joined = F.array_join(F.zip_with(between, masked, lambda b, m: F.concat(F.coalesce(b, F.lit("")), F.coalesce(m, F.lit("")))), "")
         rows = rows.withColumn(text_col, F.when(_asked(r, kinds) & F.rlike(text, F.lit(r.pattern)), joined).otherwise(text))
