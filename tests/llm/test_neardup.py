@@ -61,6 +61,26 @@ def test_like_brute_force(spark, k, percent, seed):
     assert got == brute(docs, k, percent)
 
 
+@pytest.mark.parametrize("far", [2, 4, 6])
+def test_families_that_share_a_template(spark, far):
+    rng = random.Random(far)
+    base = [f"w{n}" for n in range(120)]
+    texts = []
+    for _ in range(5):
+        own = list(base)
+        for at in rng.sample(range(120), far):
+            own[at] = f"t{rng.randint(0, 10**6)}"
+        for _ in range(rng.randint(5, 30)):
+            copy = list(own)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(120)] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    docs = list(enumerate(rng.sample(texts, len(texts))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, near_duplicates(df, shingle_words=3, percent=85).collect()), key=str)
+    assert got == brute(docs, 3, 85)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -257,6 +257,10 @@ def follow_up(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per
     |y|)) / 2`` hashes, and one of them is among the ``|X| - need + 1`` rarest of
     X and the ``|Y| - need + 1`` rarest of Y. One class of such a pair is not
     linked with the centre; that bounds ``need`` for the other one alone.
+
+    Of the classes that share a hash, those of its commonest component meet only
+    classes of other components, so a group of copies that is linked already is
+    never paired within itself, however large.
     """
     slack = (100 - percent) / (100 + percent)
     labelled = stars.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -302,10 +306,15 @@ def follow_up(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per
 
     alone = need(F.col("d") + slack * (F.col("nh") - F.col("n")))
     ranked = materialise(ranked.withColumn("early", F.col("rank") <= F.col("d") - alone + 1).where("rest OR early"), "minhash-prefixes")
-    x = ranked.where("rest").select("hub", "hash", F.col("cid").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("rank").alias("xr"))
-    y = ranked.where("early").select("hub", "hash", F.col("cid").alias("y"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("rank").alias("yr"))
+    # rows of a hash that carry its commonest label never meet each other: large groups that are linked already cost nothing
+    held = ranked.groupBy("hub", "hash", "label").agg(F.count("*").alias("c"))
+    major = held.groupBy("hub", "hash").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major")).where("labels > 1").drop("labels")
+    ranked = ranked.join(major, ["hub", "hash"]).withColumn("common", F.col("label") == F.col("major"))
+    x = ranked.where("rest").select(F.col("common").cast("int").alias("side"), "hub", "hash", F.col("cid").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("rank").alias("xr"))
+    sides = F.when(F.col("common"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    y = ranked.where("early").select(F.explode(sides).alias("side"), "hub", "hash", F.col("cid").alias("y"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("rank").alias("yr"))
     both = need(F.col("xd") + F.col("yd") - slack * (F.col("xn") + F.col("yn")))
-    found = x.join(y, ["hub", "hash"]).where((F.col("xl") != F.col("yl")) & (F.col("xr") <= F.col("xd") - both + 1) & (F.col("yr") <= F.col("yd") - both + 1))
+    found = x.join(y, ["hub", "hash", "side"]).where((F.col("xl") != F.col("yl")) & (F.col("xr") <= F.col("xd") - both + 1) & (F.col("yr") <= F.col("yd") - both + 1))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
