@@ -81,6 +81,20 @@ def test_families_that_share_a_template(spark, far):
     assert got == brute(docs, 3, 85)
 
 
+def test_very_long_texts_of_one_bucket(spark):
+    rng = random.Random(9)
+    base = [f"w{n}" for n in range(30_000)]
+    texts = []
+    for share in (0.03, 0.04, 0.05, 0.05, 0.06, 0.07):
+        copy = list(base)
+        for at in rng.sample(range(30_000), int(share * 30_000)):
+            copy[at] = f"e{rng.randint(0, 10**6)}"
+        texts += [" ".join(copy), " ".join([*copy[:29_000], *base[29_000:]])]
+    docs = list(enumerate(texts))
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=3, percent=85).collect()), key=str)
+    assert got == brute(docs, 3, 85)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

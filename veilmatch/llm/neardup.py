@@ -49,6 +49,8 @@ PERCENT = 80
 LABEL_SALTS = 16
 CACHE_WORDS = 300_000
 CACHE_SETS = 256
+#: Hashes after which a batch of differences is handed on, however long the texts are.
+BATCH_HASHES = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -276,24 +278,32 @@ def follow_up(stars: DataFrame, labels: DataFrame, texts: DataFrame, k: int, per
         from .packing import text_bytes
 
         name, centre = None, None
+
+        def rows_of(part, hashes, sizes, centres):
+            each = np.array([len(h) for h in hashes])
+            rows = np.repeat(np.arange(len(each)), each)
+            taken = [part.column(n).take(pa.array(rows)) for n in range(4)]
+            numbers = [np.array(x)[rows] for x in (sizes, centres, each)]
+            return pa.RecordBatch.from_arrays(
+                [*taken, *(pa.array(x, pa.int64()) for x in numbers), pa.array(np.concatenate(hashes).view(np.int64))], ["hub", "cid", "label", "rest", "n", "nh", "d", "hash"]
+            )
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
-                hashes, sizes, centres = [], [], []
-                for hub, t, th in zip(part.column(0).to_pylist(), text_bytes(part.column(4)), text_bytes(part.column(5))):
+            for part in (batch.slice(n, 64) for n in range(0, batch.num_rows, 64)):
+                begin, held, hashes, sizes, centres = 0, 0, [], [], []
+                for at, (hub, t, th) in enumerate(zip(part.column(0).to_pylist(), text_bytes(part.column(4)), text_bytes(part.column(5)))):
                     if hub != name:
                         name, centre = hub, shingles(th, k)
                     own = shingles(t, k)
                     hashes.append(np.setxor1d(own, centre, assume_unique=True))
                     sizes.append(len(own))
                     centres.append(len(centre))
-                each = np.array([len(h) for h in hashes])
-                rows = np.repeat(np.arange(len(each)), each)
-                taken = [part.column(n).take(pa.array(rows)) for n in range(4)]
-                numbers = [np.array(x)[rows] for x in (sizes, centres, each)]
-                yield pa.RecordBatch.from_arrays(
-                    [*taken, *(pa.array(x, pa.int64()) for x in numbers), pa.array(np.concatenate(hashes).view(np.int64))], ["hub", "cid", "label", "rest", "n", "nh", "d", "hash"]
-                )
+                    held += len(hashes[-1])
+                    if held >= BATCH_HASHES:
+                        yield rows_of(part.slice(begin, at + 1 - begin), hashes, sizes, centres)
+                        begin, held, hashes, sizes, centres = at + 1, 0, [], [], []
+                if hashes:
+                    yield rows_of(part.slice(begin), hashes, sizes, centres)
 
     split = members.select("hub", "cid", "label", "rest", "t", "th").mapInArrow(run, "hub long, cid long, label long, rest boolean, n long, nh long, d long, hash long")
     split = materialise(split, "minhash-differences")
